@@ -80,10 +80,11 @@ def auc_by(
     """Area under the ROC curve by trapezoids, per group; null where a class is absent."""
     steps = _steps(df, list(by), label, score, rows_per_chunk, False)
     strip = F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("pos").cast("double") / 2)
+    # Totals are the last running sums; asking for both lets the chunk summary share one shuffle.
     summed = steps.groupBy(*by).agg(
         F.sum(strip).alias("_area"),
-        F.sum("pos").cast("double").alias("_pos"),
-        F.sum("neg").cast("double").alias("_neg"),
+        F.max("tp").cast("double").alias("_pos"),
+        F.max("fp").cast("double").alias("_neg"),
     )
     whole = F.nullif(F.col("_pos") * F.col("_neg"), F.lit(0.0))
     return summed.select(*by, (F.col("_area") / whole).alias("auc"))

@@ -32,6 +32,7 @@ def with_quantile_chunks(
 ) -> DataFrame:
     """Add a chunk number that grows with ``value``; chunks hold about equally many rows.
 
+    A frame of no more than ``rows_per_chunk`` rows (counted) needs no chunks and gets no number.
     One aggregate over ``basis`` (default: the frame itself) yields the cut points, at most
     ``max_chunks`` numbers. They enter the plan as constants, so every use of the chunk
     number agrees even when tasks are run again.
@@ -47,7 +48,7 @@ def with_quantile_chunks(
     chosen = {cuts[i * max_chunks // chunks - 1] for i in range(1, chunks)} if cuts and chunks > 1 else set()
     chosen = sorted(c for c in chosen if math.isfinite(c))
     if not chosen:
-        return df.withColumn(CHUNK, F.lit(0))
+        return df
     cutter = Bucketizer(
         splits=[-math.inf, *chosen, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep"
     )
@@ -66,15 +67,16 @@ def scan(
     mins: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
-    split: bool = True,
     busy: Column | None = None,
 ) -> DataFrame:
     """Running sums and minimums, next and previous values, per ``by`` along ``order``.
 
-    ``order`` is ascending and must be total within a group. With ``split`` the frame carries
-    a ``CHUNK`` column that never decreases along the order; ``busy`` limits the chunk summary
-    to the groups that are really cut (the others must lie in one chunk).
+    ``order`` is ascending and must be total within a group. A frame with large groups carries
+    a ``CHUNK`` column that never decreases along the order; without it each group is one window
+    partition. ``busy`` limits the chunk summary to the groups that are really cut (the others
+    must lie in one chunk).
     """
+    split = CHUNK in df.columns
     sums, mins, leads, lags = sums or {}, mins or {}, leads or {}, lags or {}
     kinds = (("sum", sums), ("min", mins), ("lead", leads), ("lag", lags))
     inner = {f"_{kind}_{out}": value for kind, group in kinds for out, value in group.items()}
@@ -83,7 +85,7 @@ def scan(
         rows = _with_carried(rows.withColumn(SIDE, F.lit(1)), list(by), list(order), sums, mins, leads, lags, busy)
         window = Window.partitionBy(*by, CHUNK).orderBy(SIDE, *order)
     else:
-        window = Window.partitionBy(*by).orderBy(*order)
+        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {out: F.sum(f"_sum_{out}").over(upto) for out in sums}
     made |= {out: F.min(f"_min_{out}").over(upto) for out in mins}
@@ -148,10 +150,11 @@ def scan_groups(
     """
     hot = hot_keys(df, by, min_rows)
     if not hot:
-        return scan(df, by, order, split=False, **what)
+        return scan(df, by, order, **what)
     busy = is_hot(by, hot)
     chunked = with_quantile_chunks(df, F.col(cut), rows_per_chunk, basis=df.where(busy))
-    chunked = chunked.withColumn(CHUNK, F.when(busy, F.struct(*exact, F.col(CHUNK).alias("cut"))))
+    cut_at = F.col(CHUNK) if CHUNK in chunked.columns else F.lit(0)
+    chunked = chunked.withColumn(CHUNK, F.when(busy, F.struct(*exact, cut_at.alias("cut"))))
     return scan(chunked, by, order, busy=busy, **what)
 
 
