@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from queries.common import draw, query, with_parts
 from stayframe.operators import cohort as c, cooccurrence as g, poincare as p
 from stayframe.plans import fixtures as fx
+from stayframe.session import cut_lineage
+
+
+def _edge_table(spark, d):
+    """The edges written out, as the graph steps expect them."""
+    return cut_lineage(fx.edges(spark, d))
 
 
 @query("j6_code_pairs", with_parts("edges") + " select id1, id2, weight from edges")
@@ -144,13 +150,13 @@ where nodes.code <> d.id1 and not exists
   (select 1 from links l where l.id1 = d.id1 and l.id2 = nodes.code)""",
 )
 def negative_samples(spark, d):
-    return p.negative_samples(fx.edges(spark, d), n=5)
+    return p.negative_samples(_edge_table(spark, d), n=5)
 
 
 @query("g3_train_embedding")
 def train_embedding(spark, d):
     """Loss-side view of a short training run: vector length and norm of every code."""
-    emb = p.train_embedding(fx.edges(spark, d), dim=8, epochs=2, negs=5, burnin=1)
+    emb = p.train_embedding(_edge_table(spark, d), dim=8, epochs=2, negs=5, burnin=1)
     squares = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
     return emb.select("code", F.size("v").alias("dim"), F.sqrt(squares).alias("norm"))
 
@@ -173,5 +179,5 @@ per_code as (select u, sum(strangers + 1) as ranks, count(*) as n, sum(i / (i +
 select round(sum(ranks) / sum(n), 6) as mean_rank, round(avg(precision / n), 6) as map from per_code""",
 )
 def reconstruction(spark, d):
-    judged = p.reconstruction(fx.edges(spark, d), fx.vectors(spark, d))
+    judged = p.reconstruction(_edge_table(spark, d), fx.vectors(spark, d))
     return judged.select(F.round("mean_rank", 6).alias("mean_rank"), F.round("map", 6).alias("map"))

@@ -112,18 +112,20 @@ def event_lists(spark, d):
 from cells group by pat_key""",
 )
 def event_sequence(spark, d):
-    return _weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d)), 10)
+    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d)), 10)
 
 
-def _weighted(sequences, dim):
+def weighted(sequences, dim, keys=("pat_key",)):
     """Length, position-weighted sum and first non-zero step of each sequence."""
-    at = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
-    live = F.array_position(F.transform("embedding", lambda x: (x != 0).cast("int")), 1)
-    return sequences.select(
-        "pat_key",
-        F.size("embedding").cast("bigint").alias("len"),
-        F.round(F.when(live > 0, F.aggregate(at, F.lit(0.0), lambda t, x: t + x)), 4).alias("weighted"),
-        F.when(live > 0, F.floor((live - 1) / dim) * dim).alias("first_at"),
+    cells = sequences.select(*keys, F.posexplode("embedding").alias("pos", "x"))
+    value = F.col("x").cast("double") * (F.col("pos") + 1)
+    summed = cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("len"),
+        F.sum(value).alias("total"),
+        F.min(F.when(F.col("x") != 0, F.floor(F.col("pos") / dim) * dim)).alias("first_at"),
+    )
+    return summed.select(
+        *keys, "len", F.when(F.col("first_at").isNotNull(), F.round("total", 4)).alias("weighted"), "first_at"
     )
 
 
@@ -137,7 +139,7 @@ def _weighted(sequences, dim):
 from cells group by pat_key""",
 )
 def event_sequence_cut(spark, d):
-    return _weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d), n=3), 10)
+    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d), n=3), 10)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from queries.cohort import total_of
 from queries.common import draw, query, with_parts
-from queries.sequence import LISTED
+from queries.sequence import LISTED, weighted
 from stayframe.functions.arrays import dense_u8
 from stayframe.functions.hashing import key_draw
 from stayframe.operators import cohort as c, features as ft, folds, sequence as s
@@ -346,14 +346,7 @@ from labelled l join seq s on l.pat_key = s.pat_key""",
 )
 def stay_table(spark, d):
     table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d))
-    at = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
-    return table.select(
-        "pat_key",
-        F.size("embedding").cast("bigint").alias("len"),
-        F.round(F.aggregate(at, F.lit(0.0), lambda t, x: t + x), 4).alias("weighted"),
-        "mortality_label",
-        "los_label",
-        "readmit_label",
-        F.round("cost_label", 6).alias("cost_label"),
-        "fold",
-    )
+    kept = ["pat_key", "mortality_label", "los_label", "readmit_label", "cost_label", "fold"]
+    return weighted(table, 10, kept).withColumns(
+        {"cost_label": F.round("cost_label", 6), "weighted": F.coalesce("weighted", F.lit(0.0))}
+    ).drop("first_at")

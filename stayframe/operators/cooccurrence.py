@@ -74,8 +74,9 @@ def sort_edges(edges: DataFrame) -> DataFrame:
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Both directions of every edge."""
-    back = edges.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "weight")
-    return edges.select("id1", "id2", "weight").unionByName(back)
+    turned = {"id1": "id2", "id2": "id1"}
+    back = edges.select(*[F.col(turned.get(c, c)).alias(c) for c in edges.columns])
+    return edges.unionByName(back)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

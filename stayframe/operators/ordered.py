@@ -37,7 +37,7 @@ def with_quantile_chunks(
     ``max_chunks`` numbers. They enter the plan as constants, so every use of the chunk
     number agrees even when tasks are run again.
     """
-    grid = [i / max_chunks for i in range(1, max_chunks)]
+    grid = F.expr("array(" + ",".join(f"{i / max_chunks}D" for i in range(1, max_chunks)) + ")")
     number = value.cast("double")
     total, cuts = (
         (basis if basis is not None else df)
