@@ -9,6 +9,7 @@ from queries.common import query, with_parts
 from stayframe.functions import arrays
 from stayframe.functions.hashing import row_id
 from stayframe.operators import cohort as c, sequence as s
+from stayframe.operators.skew import lookup
 from stayframe.plans import fixtures as fx
 
 
@@ -149,7 +150,8 @@ def event_sequence_cut(spark, d):
   from windowed w join adm a on w.pat_key = a.pat_key group by w.pat_key""",
 )
 def stay_constants(spark, d):
-    lines = _window(spark, d).join(fx.stays(spark, d).select("pat_key", "los", "disc_status"), "pat_key")
+    stays = fx.stays(spark, d).select("pat_key", "los", "disc_status")
+    lines = lookup(_window(spark, d), stays, ["pat_key"], "inner")
     return s.stay_constants(lines, ["los", "disc_status"])
 
 

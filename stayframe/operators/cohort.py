@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stayframe.functions import labels
 from stayframe.operators.ordered import number_rows, scan_groups
-from stayframe.operators.skew import HOT_ROWS, lookup
+from stayframe.operators.skew import HOT_ROWS, fan_out, lookup
 
 # The admission columns the models may use.
 STAY_COLUMNS = [
@@ -63,13 +63,13 @@ def days_to_next(readmit: DataFrame, min_rows: int = HOT_ROWS, **options) -> Dat
     )
 
 
-def attach_readmit(stays: DataFrame, times: DataFrame) -> DataFrame:
+def attach_readmit(stays: DataFrame, times: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
     """Left join the readmission horizon; a stay without one gets 9999.
 
     Several horizon rows for one stay give several rows, as a left join does.
     """
     horizon = times.select("pat_key", "readmit_time")
-    return stays.join(horizon, "pat_key", "left").withColumn(
+    return fan_out(stays, horizon, ["pat_key"], min_rows).withColumn(
         "readmit_time", F.coalesce("readmit_time", F.lit(labels.NOT_READMITTED))
     )
 
@@ -86,13 +86,18 @@ def with_labels(stays: DataFrame) -> DataFrame:
 
 
 def sort_bill(bill: DataFrame) -> DataFrame:
-    """Charge lines by stay and service day (code and quantity settle ties)."""
-    return bill.orderBy("pat_key", "serv_day", "std_chg_code", "std_qty")
+    """Charge lines by stay and service day (code and quantity settle ties).
+
+    The row number in the input only lets the range shuffle cut through copies of a line.
+    """
+    place = F.monotonically_increasing_id()
+    ordered = bill.withColumn("_place", place).orderBy("pat_key", "serv_day", "std_chg_code", "std_qty", "_place")
+    return ordered.drop("_place")
 
 
 def first_n(bill: DataFrame, n: int = 1000) -> DataFrame:
     """The first n charge lines in that order, for a pilot run."""
-    return sort_bill(bill).limit(n)
+    return bill.orderBy("pat_key", "serv_day", "std_chg_code", "std_qty").limit(n)
 
 
 def preview(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from stayframe.functions.hashing import draw_chunk, key_draw
+from stayframe.functions.hashing import HASH_BITS, draw_chunk, key_draw
 from stayframe.operators.ordered import CHUNK, scan
 
 # Which of the ten folds serves what.
@@ -36,16 +37,20 @@ def split(df: DataFrame) -> dict[str, DataFrame]:
     return {role: df.where(F.col("fold").isin(folds)) for role, folds in parts.items()}
 
 
-def shuffle_rows(df: DataFrame, key: str = "pat_key", seed: int = ORDER_SEED, files: int | None = None) -> DataFrame:
+def shuffle_rows(
+    df: DataFrame, key: str = "pat_key", seed: int = ORDER_SEED, files: int | None = None, folds: int = 10
+) -> DataFrame:
     """Rows of each fold in random but repeatable order, in partitions of even size.
 
-    Partitions are slices of a fold, so a write by fold gives each task few files.
+    Draws are uniform, so equal slices of their range are equal shares of a fold. Each slice is one
+    partition: a write by fold makes one file per task, and file names follow the random order.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = files or max(1, partitions // 10)
+    files = files or max(1, math.ceil(partitions / folds))
     drawn = df.withColumn("_draw", key_draw(seed, key))
-    spread = drawn.repartition("fold", F.pmod(F.col("_draw"), F.lit(files)))
-    return spread.sortWithinPartitions("fold", "_draw", key).drop("_draw")
+    slot = F.shiftright(F.col("_draw") * F.lit(files), HASH_BITS)
+    place = F.pmod(F.col("fold") * F.lit(files) + slot, F.lit(folds * files)).cast("int")
+    return drawn.repartitionById(folds * files, place).sortWithinPartitions("fold", "_draw", key).drop("_draw")
 
 
 def number_by_draw(df: DataFrame, by: Sequence[str], key: str, seed: int, out: str) -> DataFrame:

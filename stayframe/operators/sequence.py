@@ -70,9 +70,16 @@ def slots(keys: DataFrame, n: int = 100) -> DataFrame:
 
 
 def slot_join(bill: DataFrame, n: int = 100) -> DataFrame:
-    """Events placed on the slots of their stay: later events vanish, empty slots are null."""
-    events = first_events(bill, n)
-    return slots(bill, n).join(events, ["pat_key", "rank"], "left")
+    """Events placed on the slots of their stay: later events vanish, empty slots are null.
+
+    Ranks have no gaps, so the event of a slot is found by position in the stay's list of at most
+    n events. That saves a join of all slots with all events.
+    """
+    event = F.struct("rank", "std_chg_code", "serv_day", "std_qty")
+    listed = first_events(bill, n).groupBy("pat_key").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    slotted = listed.select("pat_key", "events", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
+    found = F.get("events", F.col("rank") - 1)
+    return slotted.select("pat_key", "rank", *[found[c].alias(c) for c in ("std_chg_code", "serv_day", "std_qty")])
 
 
 def fill_slots(df: DataFrame, value: int = PAD_CODE) -> DataFrame:

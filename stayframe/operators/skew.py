@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 # A group below this many rows is never worth splitting.
 HOT_ROWS = 1_000_000
 # A group below this share of the rows is not hot; at most 1 / HOT_SHARE groups can be.
 HOT_SHARE = 0.001
 PROBE_ROWS = 1_000_000
+# A broadcast table must also be smaller than this, as measured.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def key_hash(cols: Sequence[str]) -> Column:
@@ -49,7 +52,7 @@ def lookup(
 ) -> DataFrame:
     """Join rows to a table that has one row per key.
 
-    A table of at most ``broadcast_rows`` rows (counted, not assumed) is broadcast.
+    A table of at most ``broadcast_rows`` rows and 64 MB (measured, not assumed) is broadcast.
     Otherwise rows of hot keys meet a broadcast of only those keys, at most about 1,000
     rows since keys are unique, and all others take the ordinary shuffle join.
     ``probe`` names a cheaper frame with the same key columns to look for hot keys in.
@@ -57,7 +60,7 @@ def lookup(
     on = list(on)
     for c in on:
         one = one.withColumn(c, F.col(c).cast(many.schema[c].dataType))
-    if broadcast_rows and one.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if broadcast_rows and _is_small(one, broadcast_rows):
         return _join(many, F.broadcast(one), on, how, null_safe)
     hot = hot_keys(probe if probe is not None else many, on, min_rows)
     if not hot:
@@ -68,6 +71,37 @@ def lookup(
     )
 
 
+def _is_small(df: DataFrame, max_rows: int) -> bool:
+    """Measure rows and bytes; a table with too many rows is not read to its end."""
+    width = F.lit(0).cast("bigint")
+    for field in df.schema:
+        kind = field.dataType
+        if isinstance(kind, ArrayType):
+            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
+        elif isinstance(kind, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        width = width + 16
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= BROADCAST_BYTES
+
+
+def fan_out(one: DataFrame, many: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of a table with one row per key to one with any number, even very many for a key.
+
+    The one row of a hot key is broadcast to the many, at most about 1,000 rows since keys are unique.
+    """
+    on = list(on)
+    hot = hot_keys(many, on, min_rows)
+    if not hot:
+        return one.join(many, on, "left")
+    busy = is_hot(on, hot)
+    few, crowd = one.where(busy), many.where(busy)
+    met = crowd.join(F.broadcast(few), on).select(*on, *[c for c in one.columns + many.columns if c not in on])
+    alone = few.join(crowd.select(*on).distinct(), on, "left_anti")
+    usual = one.where(~busy).join(many.where(~busy), on, "left")
+    return usual.unionByName(met).unionByName(alone, allowMissingColumns=True)
+
+
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:
     if not null_safe:
         return left.join(right, on, how)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayframe.operators.cooccurrence import code_pairs
 from stayframe.operators.ordered import scan_groups
+from stayframe.operators.skew import lookup
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -21,6 +22,10 @@ def _month(date: str):
     return (F.year(date) * 100 + F.month(date)).cast("int")
 
 
+def _with_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return lookup(orders.withColumn("c_custkey", F.col("o_custkey")), customers, ["c_custkey"], "inner")
+
+
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order, with every admission column and the patient and quarter keys."""
     orders = table(spark, sf_dir, "orders")
@@ -28,7 +33,7 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pat_key")).agg(
         F.max("l_linenumber").alias("los")
     )
-    known = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+    known = _with_customer(orders, customers).select(
         F.col("o_orderkey").alias("pat_key"),
         F.col("o_custkey").alias("medrec_key"),
         _month("o_orderdate").alias("disc_mon"),
@@ -73,7 +78,7 @@ def quarterly_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("pat_key"), (F.year("o_orderdate") * 10 + F.quarter("o_orderdate")).alias("yq")
     )
-    return bill(spark, sf_dir).join(quarter, "pat_key")
+    return lookup(bill(spark, sf_dir), quarter, ["pat_key"], "inner")
 
 
 def readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +119,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     p = F.col("o_totalprice") / (F.col("o_totalprice") + F.lit(200000.0))
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+    return _with_customer(orders, customers).select(
         (F.col("o_orderstatus") == "F").cast("int").alias("label"),
         F.round(F.col("o_totalprice") / 1000).alias("score"),
         F.col("o_orderpriority").alias("run"),

@@ -46,7 +46,12 @@ def test_days_to_next_breaks_month_ties_by_key_and_splits_hot_patients(spark):
 def test_attach_readmit_fans_out_and_defaults(spark):
     df = stays(spark, [(1, 2, 1, 0, 0.0), (2, 2, 1, 0, 0.0), (3, 2, 1, 0, 0.0)]).drop("readmit_time")
     times = spark.createDataFrame([(1, 10), (1, 40), (2, None)], "pat_key bigint, readmit_time int")
-    assert rows(c.attach_readmit(df, times), "pat_key", "readmit_time") == [(1, 10), (1, 40), (2, 9999), (3, 9999)]
+    want = [(1, 10), (1, 40), (2, 9999), (3, 9999)]
+    assert rows(c.attach_readmit(df, times), "pat_key", "readmit_time") == want
+    crowd = times.unionByName(spark.createDataFrame([(2, i) for i in range(50)], "pat_key bigint, readmit_time int"))
+    plain = c.attach_readmit(df, crowd)
+    split = c.attach_readmit(df, crowd, min_rows=10)
+    assert rows(split, *plain.columns) == rows(plain) and split.count() == 54
 
 
 def test_restrict_to_keeps_lines_of_hot_stays(spark):
