@@ -254,14 +254,10 @@ from long l join places p on l.name = p.name and l.value = p.value group by l.pa
 
 def _hot(df):
     """Sum of the positions of the ones among the category slots, and their number."""
-    at = F.filter(
-        F.transform(F.slice("features", F.lit(1), F.size("features") - 1), lambda x, i: F.when(x == 1, i)),
-        lambda i: i.isNotNull(),
-    )
-    return df.select(
-        "pat_key",
-        F.aggregate(at, F.lit(0).cast("bigint"), lambda t, i: t + i).alias("positions"),
-        F.size(at).cast("bigint").alias("ones"),
+    slots = df.select("pat_key", F.posexplode(F.slice("features", F.lit(1), F.size("features") - 1)).alias("pos", "x"))
+    return slots.groupBy("pat_key").agg(
+        F.sum(F.when(F.col("x") == 1, F.col("pos")).otherwise(0)).alias("positions"),
+        F.count_if(F.col("x") == 1).alias("ones"),
     )
 
 
