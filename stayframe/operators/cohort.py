@@ -43,7 +43,7 @@ def restrict_to(
     bill: DataFrame, stays: DataFrame, on: Sequence[str] = ("pat_key",), min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Charge lines whose stay is in ``stays`` (semi join)."""
-    return lookup(bill, stays.select(*on).distinct(), on, "left_semi", min_rows=min_rows)
+    return lookup(bill, stays.select(*on), on, "left_semi", min_rows=min_rows)
 
 
 def days_to_next(readmit: DataFrame, min_rows: int = HOT_ROWS, **options) -> DataFrame:

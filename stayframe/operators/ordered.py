@@ -20,7 +20,7 @@ from stayframe.operators.skew import HOT_ROWS, hot_keys, is_hot
 CHUNK = "_chunk"
 SIDE = "_side"
 ROWS_PER_CHUNK = 250_000
-MAX_CHUNKS = 1_024
+MAX_CHUNKS = 8_192
 
 
 def with_quantile_chunks(
@@ -33,20 +33,18 @@ def with_quantile_chunks(
     """Add a chunk number that grows with ``value``; chunks hold about equally many rows.
 
     A frame of no more than ``rows_per_chunk`` rows (counted) needs no chunks and gets no number.
-    One aggregate over ``basis`` (default: the frame itself) yields the cut points, at most
-    ``max_chunks`` numbers. They enter the plan as constants, so every use of the chunk
+    Otherwise one aggregate over ``basis`` (default: the frame itself) yields the cut points, fewer
+    than ``max_chunks`` numbers. They enter the plan as constants, so every use of the chunk
     number agrees even when tasks are run again.
     """
-    grid = F.expr("array(" + ",".join(f"{i / max_chunks}D" for i in range(1, max_chunks)) + ")")
+    basis = df if basis is None else basis
     number = value.cast("double")
-    total, cuts = (
-        (basis if basis is not None else df)
-        .agg(F.count(F.lit(1)), F.percentile_approx(number, grid, 10 * max_chunks))
-        .first()
-    )
-    chunks = min(max_chunks, math.ceil(total / rows_per_chunk))
-    chosen = {cuts[i * max_chunks // chunks - 1] for i in range(1, chunks)} if cuts and chunks > 1 else set()
-    chosen = sorted(c for c in chosen if math.isfinite(c))
+    chunks = min(max_chunks, math.ceil(basis.count() / rows_per_chunk))
+    if chunks < 2:
+        return df
+    grid = F.expr("array(" + ",".join(f"{i / chunks}D" for i in range(1, chunks)) + ")")
+    cuts = basis.agg(F.percentile_approx(number, grid, 10 * chunks)).first()[0]
+    chosen = sorted(c for c in set(cuts or []) if math.isfinite(c))
     if not chosen:
         return df
     cutter = Bucketizer(

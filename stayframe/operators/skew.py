@@ -50,7 +50,7 @@ def lookup(
     probe: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join rows to a table that has one row per key.
+    """Join rows to a table that has one row per key (any number for a semi join).
 
     A table of at most ``broadcast_rows`` rows and 64 MB (measured, not assumed) is broadcast.
     Otherwise rows of hot keys meet a broadcast of only those keys, at most about 1,000
@@ -59,15 +59,19 @@ def lookup(
     """
     on = list(on)
     for c in on:
-        one = one.withColumn(c, F.col(c).cast(many.schema[c].dataType))
+        if one.schema[c].dataType != many.schema[c].dataType:
+            one = one.withColumn(c, F.col(c).cast(many.schema[c].dataType))
     if broadcast_rows and _is_small(one, broadcast_rows):
         return _join(many, F.broadcast(one), on, how, null_safe)
     hot = hot_keys(probe if probe is not None else many, on, min_rows)
     if not hot:
         return _join(many, one, on, how, null_safe)
     busy = is_hot(on, hot)
+    few = one.where(busy)
+    if how == "left_semi":
+        few = few.select(*on).distinct()
     return _join(many.where(~busy), one.where(~busy), on, how, null_safe).unionByName(
-        _join(many.where(busy), F.broadcast(one.where(busy)), on, how, null_safe)
+        _join(many.where(busy), F.broadcast(few), on, how, null_safe)
     )
 
 
