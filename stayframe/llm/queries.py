@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, packing
+from stayframe.llm import digest_index, packing, token_files
+from stayframe.session import scratch_path
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -55,3 +56,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query()
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), place, vocabulary("byte_bpe_50k.json"), end_id=2)
+    found = token_files.read_tokens(spark, place, with_ids=False)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
