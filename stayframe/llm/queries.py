@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, packing, token_files
+from stayframe.llm import digest_index, packing, token_files, warc
 from stayframe.session import scratch_path
 
 LLM_QUERIES = {}
@@ -64,3 +64,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(table(spark, sf_dir, "documents"), place, vocabulary("byte_bpe_50k.json"), end_id=2)
     found = token_files.read_tokens(spark, place, with_ids=False)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query(
+    """
+with p as (
+  select page_id, coalesce(html, '') as body, octet_length(encode(coalesce(html, ''))) as n from pages),
+d as (select page_id, n, sha256(body) as digest from p),
+f as (select digest, min(page_id) as first_id from d where n >= 100 group by digest)
+select page_id, n as payload_bytes, d.digest as payload_digest,
+  case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from d left join f on d.digest = f.digest and d.n >= 100"""
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), place)
+    found = warc.captures(warc.read_records(spark, place, with_payload=False)).where("capture is not null")
+    fields = F.col("metadata.fields")
+    return found.select(
+        F.try_element_at(fields, F.lit("page-id")).try_cast("bigint").alias("page_id"),
+        F.coalesce("capture.payload_bytes", F.try_element_at(fields, F.lit("payload-bytes")).try_cast("bigint")).alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"),
+        F.try_element_at(fields, F.lit("refers-to-page")).try_cast("bigint").alias("refers_to"),
+    )
