@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, packing, token_files, warc
+from stayframe.llm import digest_index, hamming_join, packing, token_files, warc
 from stayframe.session import scratch_path
 
 LLM_QUERIES = {}
@@ -89,3 +89,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("capture.record_type").alias("record_type"),
         F.try_element_at(fields, F.lit("refers-to-page")).try_cast("bigint").alias("refers_to"),
     )
+
+
+@query()
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
