@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, hamming_join, packing, token_files, warc
+from stayframe.llm import digest_index, hamming_join, packing, token_files, toxicity, warc
+from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
 LLM_QUERIES = {}
@@ -94,3 +95,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    net = toxicity.fit_labelled(docs, labels, ~out)
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    predicted = (F.col("toxicity") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), predicted)

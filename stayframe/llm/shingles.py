@@ -36,9 +36,9 @@ def _places(n: int) -> np.ndarray:
     return _PLACE[0][:n]
 
 
-def _hash_part(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_part(data: np.ndarray, breaks: np.ndarray, lower: bool, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and begin of each word; ``breaks`` are places where a new text begins."""
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[breaks[breaks < len(data)]] = False
@@ -56,29 +56,38 @@ def _hash_part(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.nd
     return mix(sums + lengths.astype(np.uint64)), begins
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts ``data[offsets[i]:offsets[i + 1]]``, and each text's first word.
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and begins of all words of the texts ``data[offsets[i]:offsets[i + 1]]``, and each text's first word.
 
-    Works through about a megabyte at a time, cut between words.
+    ``space`` says for each byte if it parts words. Works through about a megabyte at a time, cut between words.
     """
     hashes, begins, a, end = [], [], int(offsets[0]), int(offsets[-1])
     while a < end:
         b = min(a + _PART, end)
         if b < end:
-            gaps = np.flatnonzero(_SPACE[data[a:b]])
+            gaps = np.flatnonzero(space[data[a:b]])
             if len(gaps):
                 b = a + int(gaps[-1]) + 1
             else:
-                more = np.flatnonzero(_SPACE[data[b:end]])
+                more = np.flatnonzero(space[data[b:end]])
                 b = b + int(more[0]) + 1 if len(more) else end
         lo, hi = np.searchsorted(offsets, [a, b])
-        found, at = _hash_part(data[a:b], offsets[lo:hi] - a, lower)
+        found, at = _hash_part(data[a:b], offsets[lo:hi] - a, lower, space)
         hashes.append(found)
         begins.append(at + a)
         a = b
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    at = np.concatenate(begins)
+    return np.concatenate(hashes), at, np.searchsorted(at, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``word_spans`` without the begins."""
+    hashes, _, first = word_spans(data, offsets, lower)
+    return hashes, first
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
