@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -24,3 +28,22 @@ def sample_texts(rows: DataFrame, most: int, longest: int) -> list[str]:
     chosen = fit.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_draw")).orderBy("_draw", "doc_id").limit(most)
     found = fit.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text")
     return [r["text"] for r in sorted(found.take(most), key=lambda r: (r["doc_id"], r["text"]))]
+
+
+def with_scores(docs: DataFrame, text: str, out: str, work: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """``docs`` with a number for each row that ``work`` makes from a batch of its texts, nulls included.
+
+    A column named ``out`` is replaced; all others stay, whatever their names.
+    """
+    rest = docs.drop(out)
+    row = F.struct(*[rest[f"`{c}`"] for c in rest.columns]).alias("row")
+    packed = rest.select(F.col(f"`{text}`").cast("string").alias("text"), row)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(work(batch.column(0)), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), found], ["row", "score"])
+
+    kind = packed.select("row", F.lit(0.0).alias("score")).schema
+    made = packed.mapInArrow(score, kind)
+    return made.select("row.*", F.col("score").alias(out))

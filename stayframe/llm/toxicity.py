@@ -11,14 +11,13 @@ of that over its character grams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stayframe.llm.labelled import sample_texts
+from stayframe.llm.labelled import sample_texts, with_scores
 from stayframe.llm.shingles import mix, text_parts, word_spans
 
 WINDOW = 32
@@ -399,17 +398,11 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     The network travels to the tasks once as a broadcast of fixed size. A column of that name is
     replaced; all other columns stay, whatever their names.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((net.p, net.odds))
-    rest = docs.drop("toxicity")
-    made = rest.withColumn("toxicity", F.lit(0.0))
-    at = rest.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast((net.p, net.odds))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(column: pa.Array) -> np.ndarray:
         own = Network()
         own.p, own.odds = shared.value
-        for batch in batches:
-            scores = pa.array(score_batch(own, batch.column(at).cast(pa.string())), pa.float64())
-            yield batch.set_column(len(rest.columns), "toxicity", scores)
+        return score_batch(own, column)
 
-    return made.mapInArrow(work, made.schema)
+    return with_scores(docs, text, "toxicity", work)
