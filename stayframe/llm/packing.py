@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stayframe.llm.spread import text_or_empty
-from stayframe.llm.word_tokens import encode_in_parts
+from stayframe.llm.word_tokens import encode_column
 from stayframe.session import scratch_path
 
 WINDOW = 2048
@@ -97,7 +97,7 @@ def pieces(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
-            for i, ids in encode_in_parts(tokenizer, batch.column(1).to_pylist()):
+            for i, ids in encode_column(tokenizer, batch.column(1)):
                 ids += end
                 for a in range(0, len(ids), 4 * window):
                     part = ids[a : a + 4 * window]

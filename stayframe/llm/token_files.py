@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stayframe.llm import simple8b
 from stayframe.llm.spread import text_or_empty
-from stayframe.llm.word_tokens import encode_in_parts
+from stayframe.llm.word_tokens import encode_column
 
 MAGIC = int.from_bytes(b"TOKENS01", "little")
 END_MARK = "\r\nEND8\r\n"
 HEADER = 9
 # A block is closed when it has this many ids; a longer document makes a longer block.
-BLOCK_IDS = 1_000_000
+BLOCK_IDS = 250_000
 # A file ends after so many blocks, so that a reader's task has a bounded file to hold.
-FILE_BLOCKS = 24
+FILE_BLOCKS = 96
 
 
 def pack_block(partition: int, block: int, before: int, keys: list, counts: list[int], ids: np.ndarray) -> bytes:
@@ -99,7 +99,7 @@ def write_tokens(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, ids in encode_in_parts(tokenizer, batch.column(1).to_pylist()):
+            for i, ids in encode_column(tokenizer, batch.column(1)):
                 keys.append(names[i])
                 counts.append(len(ids) // 4 + 1)
                 parts += [ids, end]

@@ -1,26 +1,45 @@
 """Token ids of whole texts by the ``tokenizers`` library, one encoding per distinct word.
 
-A vocabulary whose pre-tokenizer never lets a token cross the place before "one space, then a
-non-space" can be applied to the pieces between such places. Pieces repeat, so each worker remembers
-theirs in a bounded memory. A text in which spaces meet other white space is encoded in one go.
+The pre-tokenizers of byte-level and word vocabularies never let a token cross certain places: before
+a space that a visible character follows; around a line end with visible characters on both sides;
+before a comma or full stop that follows a letter or digit. A text may be encoded piece by piece
+between such places. Pieces repeat, so each worker remembers theirs, within a bound. A text for which
+some rule is in doubt is cut at spaces only, or encoded in one go.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain, islice
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-# Words a worker remembers in each of two generations; beyond that the older generation goes.
-REMEMBERED = 400_000
+# Pieces a worker remembers in each of two generations; beyond that the older generation goes.
+REMEMBERED = 250_000
 # A longer piece is not worth remembering.
 LONGEST = 48
-_ODD = re.compile(r" \s| \Z")
+# Marks a piece that no space stands before.
+_BARE = "\0"
+_UNSURE_SPACE = re.compile(r" \s| \Z|\0")
+_UNSURE_LINE = re.compile(r"\s\n|\n\s|\n\Z|\A\n")
+_UNSURE_STOP = re.compile(r"(?<![^\W_])[.,]")
 _AT_ONCE = 400
 
 
+def cut(text: str) -> list[str] | None:
+    """Pieces of a text: each follows a space unless it bears the mark. None if it must stay whole."""
+    if _UNSURE_SPACE.search(text):
+        return None
+    if not _UNSURE_LINE.search(text):
+        text = text.replace("\n", " \0\n \0")
+    if not _UNSURE_STOP.search(text):
+        text = text.replace(",", " \0,").replace(".", " \0.")
+    return (_BARE + text).split(" ")
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; equal to encoding each text whole."""
 
@@ -31,6 +50,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._limit = remembered
+        self._line = len(self.whole(["\n"])[0]) // 4
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -39,41 +59,46 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _ODD.search(t) else t.split(" ") for t in texts]
+        pieces = [cut(t) for t in texts]
         odd = iter(self.whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        starts = list({p[0] for p in pieces if p})
-        heads = dict(zip(starts, self.whole(starts), strict=True))
-        self._learn(set(chain.from_iterable(islice(p, 1, None) for p in pieces if p)))
+        self._learn(set(chain.from_iterable(p for p in pieces if p)))
         known = self._young.__getitem__
-        out = [
-            next(odd) if p is None else b"".join(chain((heads[p[0]],), map(known, islice(p, 1, None))))
-            for p in pieces
-        ]
+        out = [next(odd) if p is None else b"".join(map(known, p)) for p in pieces]
         if len(self._young) > self._limit:
             self._old, self._young = {k: v for k, v in self._young.items() if len(k) <= LONGEST}, {}
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """Put every word of a batch into the younger generation."""
-        young, old, missing = self._young, self._old, []
+        """Put every piece of a batch into the younger generation."""
+        young, old = self._young, self._old
+        spaced, bare = [], []
         for word in words - young.keys():
             ids = old.pop(word, None)
-            if ids is None:
-                missing.append(word)
-            else:
+            if ids is not None:
                 young[word] = ids
-        # Many words in one text, each after a space: a token's place tells whose it is.
-        groups = [missing[i : i + _AT_ONCE] for i in range(0, len(missing), _AT_ONCE)]
-        found = self._tokenizer.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found, strict=True):
-            begins = np.cumsum([0, *(len(w) + 1 for w in group)])
+            elif word[:1] != _BARE:
+                spaced.append(word)
+            elif len(word) > 1 and not word[1].isspace():
+                bare.append(word)
+            else:
+                young[word] = self.whole([word[1:]])[0]
+        self._encode_joined(spaced, [" " + w for w in spaced], 0)
+        # After a line end, which is a token by itself or none at all, a piece is as at a text's start.
+        self._encode_joined(bare, ["\n" + w[1:] for w in bare], self._line)
+
+    def _encode_joined(self, names: list[str], pieces: list[str], skip: int) -> None:
+        """Many pieces in one text; a token's place tells whose it is. ``skip`` ids of each are left out."""
+        groups = range(0, len(pieces), _AT_ONCE)
+        joined = ["".join(pieces[a : a + _AT_ONCE]) for a in groups]
+        for a, encoding in zip(groups, self._tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
+            some = pieces[a : a + _AT_ONCE]
+            ends = np.cumsum([len(w) for w in some])
             # A token of white space alone is reported as an empty span at its end.
-            at = np.array([a - (a == b) for a, b in encoding.offsets], np.int64)
-            ends = np.searchsorted(at, begins[1:]) * 4
+            at = np.array([begin - (begin == end) for begin, end in encoding.offsets], np.int64)
             ids = np.array(encoding.ids, "<u4").tobytes()
             begin = 0
-            for word, end in zip(group, ends.tolist(), strict=True):
-                young[word] = ids[begin:end]
+            for name, end in zip(names[a : a + _AT_ONCE], (np.searchsorted(at, ends) * 4).tolist(), strict=True):
+                self._young[name] = ids[begin + 4 * skip : end]
                 begin = end
 
 
@@ -87,11 +112,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_in_parts(path: str, texts: list[str], most_chars: int = 4_000_000):
-    """(position, ids) of each text, encoded in parts so that memory follows ``most_chars``."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= most_chars or i + 1 == len(texts):
-            yield from zip(range(begin, i + 1), encoder(path).encode(texts[begin : i + 1]), strict=True)
-            begin, size = i + 1, 0
+def encode_column(path: str, column: pa.Array, most_chars: int = 1_500_000) -> Iterator[tuple[int, bytes]]:
+    """(row, ids) of each text of a column without nulls, in parts so that memory follows ``most_chars``."""
+    texts, held, begin = [], 0, 0
+    for i, text in enumerate(column):
+        texts.append(text.as_py())
+        held += len(texts[-1])
+        if held >= most_chars or i + 1 == len(column):
+            yield from zip(range(begin, i + 1), encoder(path).encode(texts), strict=True)
+            texts, held, begin = [], 0, i + 1
