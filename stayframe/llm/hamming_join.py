@@ -215,7 +215,8 @@ def spanning_links(
 def _confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: int, den: int) -> DataFrame:
     """Spanning links ``a, b`` of each unit, on the members' full sets taken from their texts again."""
     units = members.groupBy("rep").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("units"))
-    texts = docs.join(units, docs["doc_id"] == units["rep"]).select("rep", "text", "units")
+    # Members grow with the corpus: the same join at every size, not a broadcast while they are few.
+    texts = docs.join(units.hint("merge"), docs["doc_id"] == units["rep"]).select("rep", "text", "units")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
