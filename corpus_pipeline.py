@@ -1,31 +1,80 @@
-"""The text-corpus pipeline: five filters and joins, each stage written and read again."""
+"""The text-corpus pipeline: filters, duplicates and packing, each stage written and read again.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns a frame. All but the last return the columns of
+``documents``; labels are read from ``sf_dir``. Texts and ids may be null: a null text counts as empty
+wherever an operator says so, and a row without an id is kept by the duplicate stages unless its text
+was seen before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index
+from stayframe.llm import digest_index, hamming_join, packing, quality, toxicity
+from stayframe.llm.labelled import held_out
+from stayframe.llm.queries import vocabulary
+from stayframe.llm.spread import text_or_empty
 from stayframe.session import scratch_path
 
+TOXIC_FROM = 0.3
+GOOD_FROM = 0.5
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity is 0.3 or more go. Labels of every fourth id, by crc32, are never looked at."""
+    net = toxicity.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 4, 2))
+    return toxicity.score(docs, net).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose quality is below 0.5 go. Labels of every third id, by crc32, are never looked at."""
+    model = quality.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 3, 1))
+    return quality.score(docs, model).where(F.col("quality_score") >= GOOD_FROM).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, white space aside: the longest original, then the smallest id.
+
+    Rows that repeat both an id and its text are one document and stay together.
+    """
+    gone = digest_index.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_text"))
+    own = digest_index.normal_digest(text_or_empty(docs, "text"))
+    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")) & (own == F.col("_text")), "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id stays of documents that links of similarity 0.8 on five-word shingles join."""
+    found = hamming_join.near_duplicates(docs, size=5, num=80, den=100)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays: the longest original, then the smallest id."""
-    kept = digest_index.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with the sequence of 2,048 tokens each lies in, and their place there."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 STAGES = [
-    ("exact_dedup", exact_dedup),
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
 ]
 
+# Trained scores and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         place = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

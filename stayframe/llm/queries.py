@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, hamming_join, packing, token_files, toxicity, warc
+from stayframe.llm import digest_index, hamming_join, packing, quality, token_files, toxicity, warc
 from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
@@ -105,3 +105,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs.select("doc_id", "text"), net)
     predicted = (F.col("toxicity") >= 0.3).cast("int").alias("predicted")
     return scored.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), predicted)
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit_labelled(docs, labels, ~out)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("quality_score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", out.alias("held_out"), F.col("quality_score").alias("score"), predicted)
