@@ -176,7 +176,8 @@ def _candidates(keyed: DataFrame, num: int, den: int) -> DataFrame:
                     test(np.full(end - a - 1, a), np.arange(a + 1, end))
             yield from rows.select(["key", "i", "j", "block", "rep"]).filter(pa.array(hit)).to_batches()
 
-    return _unit_frame(keyed).mapInArrow(work, "key bigint, i int, j int, block int, rep bigint")
+    ordered = keyed.select("key", "i", "j", "block", "which", "rep", "n", "signature")
+    return _unit_frame(ordered).mapInArrow(work, "key bigint, i int, j int, block int, rep bigint")
 
 
 def spanning_links(
@@ -212,7 +213,7 @@ def spanning_links(
     return links
 
 
-def _confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: int, den: int) -> DataFrame:
+def confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: int, den: int) -> DataFrame:
     """Spanning links ``a, b`` of each unit, on the members' full sets taken from their texts again."""
     units = members.groupBy("rep").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("units"))
     # Members grow with the corpus: the same join at every size, not a broadcast while they are few.
@@ -247,51 +248,39 @@ def _confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: i
     return _unit_frame(met).mapInArrow(work, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame, *, size: int = 3, num: int = 85, den: int = 100, lower: bool = True, block: int = BLOCK,
-    text: str = "text", doc_id: str = "doc_id",
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+def equal_sets(signed: DataFrame) -> DataFrame:
+    """``set_key, rep, n, signature, copies``: one row per distinct non-empty set of rows with an id.
 
-    Documents whose sets of ``size``-word shingles have a similarity of ``num / den`` or more are
-    linked; the component is the smallest id that links lead to. A text of fewer words has all of
-    them as its one shingle. Null and empty texts, and texts of white space, link with nothing, equal
-    or not. Equal sets are one member of the join. Rows with a null id link with nothing, have no
-    component and are kept. Rows that repeat an id are one document. No rows give no rows; extra
-    columns are ignored.
+    Partial sums run before the shuffle, so a large group of copies costs little.
     """
-    spark = docs.sparkSession
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        place = scratch_path(spark, name)
-        df.write.parquet(place)
-        return spark.read.parquet(place)
-
-    plain = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = written(sign(plain, size, lower), "signed")
-    # Equal sets meet by their digest, with partial sums, so a large group of copies costs little.
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
+    return signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
         F.count(F.lit(1)).alias("copies"),
     )
-    sets = written(sets, "sets")
-    counts = _keys(sets, narrow=True).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    counts = written(counts, "keys")
-    met = spread_lookup(_keys(sets, narrow=False), counts, ["key"], "size", SLOTS * sets.count()).where("size > 1")
-    # A key with more than a block of members is compared block against block, each pair of blocks a unit.
+
+
+def units(keyed: DataFrame, counts: DataFrame, total: int, block: int) -> DataFrame:
+    """Rows whose key others have too, in units ``key, i, j`` that one task compares.
+
+    A key with more than ``block`` members is compared block against block, each pair of blocks a unit.
+    ``counts`` has ``key, size`` of shared keys, ``total`` is the number of keyed rows.
+    """
+    met = spread_lookup(keyed, counts, ["key"], "size", total).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    units = F.transform(
+    pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1),
         lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")),
     )
-    keyed = met.select("key", "which", "rep", "n", "signature", own.alias("block"), F.explode(units).alias("unit"))
-    keyed = keyed.select("key", "unit.i", "unit.j", "block", "which", "rep", "n", "signature")
-    members = written(_candidates(keyed, num, den), "members")
-    links = written(_confirm(members, plain, size, lower, num, den).distinct(), "links")
+    dealt = met.select(*keyed.columns, own.alias("block"), F.explode(pairs).alias("unit"))
+    return dealt.select("*", "unit.i", "unit.j").drop("unit")
+
+
+def with_components(signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every signed row, from links between sets."""
     found = components(links)
     moved = sets.join(found, sets["rep"] == found["node"], "left").where("copies > 1 or component is not null").select(
-        "set_key", F.coalesce("component", "rep").alias("component"), F.greatest("copies", F.lit(1)).alias("copies")
+        "set_key", F.coalesce("component", "rep").alias("component"), "copies"
     )
     result = spread_lookup(signed.drop("signature"), moved, ["set_key"], "copies", signed.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -299,3 +288,33 @@ def near_duplicates(
         "doc_id", "n_shingles", component.alias("component_id"),
         (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"),
     )
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read again."""
+    place = scratch_path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def near_duplicates(
+    docs: DataFrame, *, size: int = 3, num: int = 85, den: int = 100, lower: bool = True, block: int = BLOCK,
+    text: str = "text", doc_id: str = "doc_id",
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row.
+
+    Documents whose sets of ``size``-word shingles have a similarity of ``num / den`` or more are
+    linked; the component is the smallest id that links lead to. A text of fewer words has all of
+    them as its one shingle. Null and empty texts, and texts of white space, link with nothing, equal
+    or not. Equal sets are one member of the join. Rows with a null id link with nothing, have no
+    component and are kept. Rows that repeat an id are one document. No rows give no rows; extra
+    columns are ignored.
+    """
+    plain = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    signed = written(sign(plain, size, lower), "signed")
+    sets = written(equal_sets(signed), "sets")
+    counts = _keys(sets, narrow=True).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keyed = units(_keys(sets, narrow=False), written(counts, "keys"), SLOTS * sets.count(), block)
+    members = written(_candidates(keyed, num, den), "members")
+    links = written(confirm(members, plain, size, lower, num, den).distinct(), "links")
+    return with_components(signed, sets, links)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, hamming_join, packing, quality, token_files, toxicity, warc
+from stayframe.llm import digest_index, fingerprints, hamming_join, packing, quality, token_files, toxicity, warc
 from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
@@ -115,3 +115,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs.select("doc_id", "text"), model)
     predicted = (F.col("quality_score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", out.alias("held_out"), F.col("quality_score").alias("score"), predicted)
+
+
+@query()
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
