@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, fingerprints, hamming_join, packing, quality, token_files, toxicity, warc
+from stayframe.llm import digest_index, fingerprints, hamming_join, line_dedup, packing, quality, token_files, toxicity, warc
 from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
@@ -120,3 +120,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped_lines").alias("n_dropped"), "dropped_lines")

@@ -38,3 +38,27 @@ def spread_lookup(many: DataFrame, one: DataFrame, on: Sequence[str], size: str,
 def text_or_empty(df: DataFrame, column: str) -> Column:
     """The column as text, null as the empty text; a column of any other type is cast."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+# Bits of the filter below, as one megabyte.
+FILTER_BITS = 1 << 23
+
+
+def keep_likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``wanted[key]``: all that are, and some that are not.
+
+    A filter of hashed keys, one megabyte whatever the data, thins wide rows before a join moves them.
+    With very many wanted keys it lets most rows through, and the join that follows is still right.
+    """
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+
+    bits = wanted.select(place(key).alias("_at"))
+    filters = bits.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")
+    )
+    met = df.withColumn("_at", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    met = met.join(F.broadcast(filters), "_bucket")
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return met.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*df.columns)
