@@ -18,16 +18,17 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(remainder(doc_id, parts) == part, F.lit(False))
 
 
-def sample_texts(rows: DataFrame, most: int, longest: int) -> list[str]:
+def sample_texts(docs: DataFrame, ids: DataFrame, most: int, longest: int) -> list[str]:
     """At most ``most`` texts of up to ``longest`` characters, the same ones in every run.
 
-    Only ids are sorted; texts are fetched for the chosen ones. Bounded by both parameters, so the
-    driver may hold it.
+    Twice as many ids are drawn from the narrow table ``ids`` (column ``doc_id``), to make up for texts
+    that are empty, too long or not there, and only theirs are fetched. Bounded by both parameters, so
+    the ids may be broadcast and the driver may hold the texts.
     """
-    fit = rows.where((F.length("text") > 0) & (F.length("text") <= longest))
-    chosen = fit.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_draw")).orderBy("_draw", "doc_id").limit(most)
-    found = fit.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text")
-    return [r["text"] for r in sorted(found.take(most), key=lambda r: (r["doc_id"], r["text"]))]
+    drawn = ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(2 * most)
+    fit = docs.where((F.length("text") > 0) & (F.length("text") <= longest)).select("doc_id", "text")
+    found = fit.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(most)
+    return [r["text"] for r in found.collect()]
 
 
 def with_scores(docs: DataFrame, text: str, out: str, work: Callable[[pa.Array], np.ndarray]) -> DataFrame:

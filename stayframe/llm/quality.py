@@ -196,9 +196,8 @@ def fit_labelled(
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(usable)
-    marked = labels.where((F.col("quality") == 1) & usable).select("doc_id").distinct()
-    good = sample_texts(rows.join(marked, "doc_id"), most_good, longest)
-    return fit(good, sample_texts(rows, most_unlabelled, longest))
+    good = sample_texts(rows, labels.where((F.col("quality") == 1) & usable), most_good, longest)
+    return fit(good, sample_texts(rows, rows, most_unlabelled, longest))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

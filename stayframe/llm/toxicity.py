@@ -387,9 +387,8 @@ def fit_labelled(
     """Fit on a bounded sample of ``docs`` that ``labels.toxic`` marks and the condition ``usable`` admits."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.where(F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = rows.join(marked, "doc_id")
-    toxic = sample_texts(joined.where("toxic = 1"), most_toxic, longest)
-    return fit(toxic, sample_texts(joined.where("toxic = 0"), most_clean, longest), epochs=epochs)
+    toxic = sample_texts(rows, marked.where("toxic = 1"), most_toxic, longest)
+    return fit(toxic, sample_texts(rows, marked.where("toxic = 0"), most_clean, longest), epochs=epochs)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
