@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, fingerprints, hamming_join, line_dedup, packing, quality, token_files, toxicity, warc
+from stayframe.llm import digest_index, fingerprints, hamming_join, line_dedup, packing, piece_viterbi, quality, token_files, toxicity, warc
 from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
@@ -126,3 +126,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("dropped_lines").alias("n_dropped"), "dropped_lines")
+
+
+@query()
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
