@@ -57,7 +57,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     hashes, begins, first = word_spans(data, offsets, True, _PARTS_WORDS)
     distinct, at, order = np.unique(hashes, return_index=True, return_inverse=True)
     begin = begins[at]
-    end = _word_ends(data, begin, int(offsets[-1]))
+    end = _word_ends(data, begin, offsets[np.searchsorted(offsets, begin, "right")])
     # Letters of the distinct words, each word after a mark of its own.
     lengths = end - begin + 1
     starts = np.cumsum(lengths) - lengths
@@ -77,12 +77,12 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(distinct, gram_word, mix(grams), order, first)
 
 
-def _word_ends(data: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
-    """First parting byte after each begin, by steps over all words at once, at most 40 bytes on."""
+def _word_ends(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """First parting byte or text end after each begin, by steps over all words at once, at most 40 bytes on."""
     at = begin.copy()
     live = np.arange(len(begin))
     for _ in range(40):
-        live = live[at[live] < end]
+        live = live[at[live] < end[live]]
         live = live[~_PARTS_WORDS[data[at[live]]]]
         if not len(live):
             break
@@ -129,7 +129,7 @@ class Network:
         odds = odds or self.odds
         n, slot = len(words.hashes), _slots(words.hashes, SLOTS)
         grams = np.bincount(words.gram_word, minlength=n).astype(np.float32)
-        out = np.zeros((n, VECTOR + 3), np.float32)
+        out = np.zeros((max(n, 1), VECTOR + 3), np.float32)  # one row that padding may point at
         if n:
             begins = np.searchsorted(words.gram_word, np.arange(n))
             sums = np.add.reduceat(self.p["gram"][_slots(words.grams, SLOTS)], begins, axis=0)
