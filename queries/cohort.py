@@ -61,7 +61,7 @@ def readmit_default(spark, d):
 
 
 VECTORED = """
-select r.pat_key, r.std_chg_code, r.serv_day, cast(10 as bigint) as len,
+select r.pat_key, r.std_chg_code, r.serv_day, cast(64 as bigint) as len,
   round(coalesce(list_sum(list_transform(e.v, lambda x: x::double)), 0), 6) as total
 from evts r left join emb e on r.std_chg_code = e.code"""
 
@@ -69,7 +69,7 @@ from evts r left join emb e on r.std_chg_code = e.code"""
 @query("p9_default_vector", with_parts("evts", "emb") + VECTORED)
 def default_vectors(spark, d):
     events = sequence.dedup_events(c.bill_window(fx.bill(spark, d)))
-    return sequence.embed_events(events, fx.vectors(spark, d)).withColumn("v", default_vector("v", 10)).select(
+    return sequence.embed_events(events, fx.vectors(spark, d)).withColumn("v", default_vector("v", fx.WIDTH)).select(
         *sequence.EVENT, F.size("v").cast("bigint").alias("len"), total_of("v").alias("total")
     )
 

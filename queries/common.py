@@ -68,7 +68,9 @@ select *, case when disc_status = 20 then 1 else 0 end as mortality_label,
   pat_cost as cost_label, {fold} as fold
 from pats"""
 
-EMB = "select vec_id as code, list_slice(embedding, 1, 10) as v from embeddings"
+EMB = "select vec_id as code, embedding as v from embeddings"
+
+BALL = "select vec_id as code, list_transform(embedding, lambda x: x * 0.5::float) as v from embeddings"
 
 WINDOWED = "select pat_key, std_chg_code, serv_day, std_qty from bill where serv_day in (0, 1)"
 
@@ -117,6 +119,7 @@ _PARTS = {
     "pats": (PATS, ("adm", "times")),
     "labelled": (LABELLED.format(fold=f"cast({draw(42, 'pat_key')} % 10 as integer)"), ("pats",)),
     "emb": (EMB, ()),
+    "ball": (BALL, ()),
     "windowed": (WINDOWED, ("bill",)),
     "evts": (EVENTS, ("windowed",)),
     "ranked": (RANKED, ("evts",)),

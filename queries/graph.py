@@ -128,29 +128,29 @@ DISTANCE = """acosh(1 + 2 * list_sum(list_transform(list_zip({u}, {v}), lambda z
 
 @query(
     "g1_edge_distance",
-    with_parts("edges", "emb")
+    with_parts("edges", "ball")
     + f""" select e.id1, e.id2, e.weight, round({DISTANCE.format(u="a.v", v="b.v")}, 6) as distance
-  from edges e left join emb a on e.id1 = a.code left join emb b on e.id2 = b.code""",
+  from edges e left join ball a on e.id1 = a.code left join ball b on e.id2 = b.code""",
 )
 def edge_distance(spark, d):
-    measured = p.edge_distance(fx.edges(spark, d), fx.vectors(spark, d))
+    measured = p.edge_distance(fx.edges(spark, d), fx.ball_vectors(spark, d), fx.WIDTH)
     return measured.withColumn("distance", F.round("distance", 6))
 
 
-@query(
-    "g2_negative_samples",
-    with_parts("edges")
-    + f""", ids as (select id1 as code from edges union select id2 from edges),
+NEGATIVES = """, ids as (select id1 as code from edges union select id2 from edges),
 nodes as (select code, row_number() over (order by code) as n from ids),
-drawn as (select id1, id2, cast(k as integer) as k, {draw(1, "id1", "id2", "k")} % (select count(*) from nodes) + 1 as n
-  from edges cross join range(1, 6) r(k)),
-links as (select id1, id2 from edges union select id2, id1 from edges)
-select d.id1, d.id2, d.k, nodes.code as neg from drawn d join nodes on d.n = nodes.n
-where nodes.code <> d.id1 and not exists
-  (select 1 from links l where l.id1 = d.id1 and l.id2 = nodes.code)""",
-)
+links as (select id1, id2 from edges union select id2, id1 from edges union select code, code from nodes),
+taken as (select id1, list(n order by n) as held from links join nodes on id2 = code group by id1),
+free as (select id1, list_filter(range(1, (select count(*) + 1 from nodes)), lambda x: not list_contains(held, x)) as free
+  from taken)
+select e.id1, e.id2, cast(k as integer) as k, nodes.code as neg
+from edges e join free on e.id1 = free.id1 cross join range(1, 51) r(k)
+left join nodes on nodes.n = free[{draw} % len(free) + 1]""".replace("{draw}", draw(1, "e.id1", "e.id2", "k"))
+
+
+@query("g2_negative_samples", with_parts("edges") + NEGATIVES)
 def negative_samples(spark, d):
-    return p.negative_samples(_edge_table(spark, d), n=5)
+    return p.negative_samples(_edge_table(spark, d), n=50)
 
 
 @query("g3_train_embedding")
@@ -163,9 +163,9 @@ def train_embedding(spark, d):
 
 @query(
     "g4_reconstruction",
-    with_parts("edges", "emb")
+    with_parts("edges", "ball")
     + f""", links as (select id1, id2 from edges union select id2, id1 from edges),
-nodes as (select code, v from emb where code in (select id1 from links)),
+nodes as (select code, v from ball where code in (select id1 from links)),
 dist as (select a.code as u, b.code as w, {DISTANCE.format(u="a.v", v="b.v")} as x,
     l.id1 is not null as linked
   from nodes a join nodes b on a.code <> b.code left join links l on l.id1 = a.code and l.id2 = b.code),
@@ -179,5 +179,5 @@ per_code as (select u, sum(strangers + 1) as ranks, count(*) as n, sum(i / (i +
 select round(sum(ranks) / sum(n), 6) as mean_rank, round(avg(precision / n), 6) as map from per_code""",
 )
 def reconstruction(spark, d):
-    judged = p.reconstruction(_edge_table(spark, d), fx.vectors(spark, d))
+    judged = p.reconstruction(_edge_table(spark, d), fx.ball_vectors(spark, d), fx.WIDTH)
     return judged.select(F.round("mean_rank", 6).alias("mean_rank"), F.round("map", 6).alias("map"))

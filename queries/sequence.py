@@ -50,6 +50,11 @@ def slot_join(spark, d):
     return s.slot_join(_window(spark, d), 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("j3_slot_join_full", with_parts("windowed", "ranked") + JOINED.replace("range(1, 4)", "range(1, 101)"))
+def slot_join_full(spark, d):
+    return s.slot_join(_window(spark, d), 100).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 EMBEDDED = """ select w.pat_key, w.std_chg_code, w.serv_day, w.std_qty,
   round(list_sum(list_transform(e.v, lambda x: x::double)), 6) as total
 from windowed w left join emb e on w.std_chg_code = e.code"""
@@ -98,7 +103,20 @@ cells as (select s.pat_key, p as step, f.v from sized s cross join range(0, {n})
   round(coalesce(list_sum(list_transform(v, lambda x: x::double)), 0), 6) as total from cells""",
 )
 def event_lists(spark, d):
-    lists = s.event_lists(_window(spark, d), fx.vectors(spark, d), n=3)
+    lists = s.event_lists(_window(spark, d), fx.vectors(spark, d), n=3, dim=fx.WIDTH)
+    cells = lists.select("pat_key", F.posexplode("vectors").alias("step", "v"))
+    return cells.select("pat_key", F.col("step").cast("bigint").alias("step"), total_of("v").alias("total"))
+
+
+@query(
+    "a4_event_lists_full",
+    with_parts("ranked", "emb")
+    + LISTED.format(n=100)
+    + """select pat_key, cast(step as bigint) as step,
+  round(coalesce(list_sum(list_transform(v, lambda x: x::double)), 0), 6) as total from cells""",
+)
+def event_lists_full(spark, d):
+    lists = s.event_lists(_window(spark, d), fx.vectors(spark, d), n=100, dim=fx.WIDTH)
     cells = lists.select("pat_key", F.posexplode("vectors").alias("step", "v"))
     return cells.select("pat_key", F.col("step").cast("bigint").alias("step"), total_of("v").alias("total"))
 
@@ -107,23 +125,24 @@ def event_lists(spark, d):
     "c1_event_sequence",
     with_parts("ranked", "emb")
     + LISTED.format(n=100)
-    + """select pat_key, cast(1000 as bigint) as len,
-  round(sum(list_sum(list_transform(v, lambda x, i: x::double * (10 * step + i)))), 4) as weighted,
-  min(case when v is not null then 10 * step end) as first_at
+    + """select pat_key, cast(6400 as bigint) as len,
+  round(sum(list_sum(list_transform(v, lambda x, i: x::double * (64 * step + i)))), 4) as weighted,
+  min(case when v is not null then 64 * step end) as first_at
 from cells group by pat_key""",
 )
 def event_sequence(spark, d):
-    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d)), 10)
+    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d), dim=fx.WIDTH), fx.WIDTH)
 
 
 def weighted(sequences, dim, keys=("pat_key",)):
     """Length, position-weighted sum and first non-zero step of each sequence."""
-    cells = sequences.select(*keys, F.posexplode("embedding").alias("pos", "x"))
-    value = F.col("x").cast("double") * (F.col("pos") + 1)
-    summed = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("len"),
-        F.sum(value).alias("total"),
-        F.min(F.when(F.col("x") != 0, F.floor(F.col("pos") / dim) * dim)).alias("first_at"),
+    weights = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    steps = F.transform("embedding", lambda x, i: F.when(x != 0, F.floor(i / dim) * dim))
+    summed = sequences.select(
+        *keys,
+        F.size("embedding").cast("bigint").alias("len"),
+        F.aggregate(weights, F.lit(0.0), lambda total, x: total + x).alias("total"),
+        F.array_min(steps).alias("first_at"),
     )
     return summed.select(
         *keys, "len", F.when(F.col("first_at").isNotNull(), F.round("total", 4)).alias("weighted"), "first_at"
@@ -134,13 +153,13 @@ def weighted(sequences, dim, keys=("pat_key",)):
     "c1_event_sequence_cut",
     with_parts("ranked", "emb")
     + LISTED.format(n=3)
-    + """select pat_key, cast(30 as bigint) as len,
-  round(sum(list_sum(list_transform(v, lambda x, i: x::double * (10 * step + i)))), 4) as weighted,
-  min(case when v is not null then 10 * step end) as first_at
+    + """select pat_key, cast(192 as bigint) as len,
+  round(sum(list_sum(list_transform(v, lambda x, i: x::double * (64 * step + i)))), 4) as weighted,
+  min(case when v is not null then 64 * step end) as first_at
 from cells group by pat_key""",
 )
 def event_sequence_cut(spark, d):
-    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d), n=3), 10)
+    return weighted(s.event_sequence(_window(spark, d), fx.vectors(spark, d), n=3, dim=fx.WIDTH), fx.WIDTH)
 
 
 @query(
@@ -178,23 +197,25 @@ def repeat_explode(spark, d):
     return repeated.groupBy("pat_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f2_row_id", "select count(*) as n, count(distinct o_orderkey) as n_ids from orders")
+@query(
+    "f2_row_id",
+    """select o_orderkey, md5(length(cast(o_orderkey as varchar)) || ':' || cast(o_orderkey as varchar)
+  || '|' || length(o_orderstatus) || ':' || o_orderstatus) as id from orders""",
+)
 def row_ids(spark, d):
-    ids = fx.table(spark, d, "orders").select(row_id("o_orderkey").alias("id"))
-    each = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids"))
+    return fx.table(spark, d, "orders").select("o_orderkey", row_id("o_orderkey", "o_orderstatus").alias("id"))
 
 
 @query(
     "f3_flatten_seq",
     with_parts("ranked", "emb")
     + LISTED.format(n=5)
-    + """select c.pat_key, cast(10 * c.step + x.i as bigint) as pos,
+    + """select c.pat_key, cast(64 * c.step + x.i as bigint) as pos,
   round(coalesce(list_extract(c.v, x.i + 1), 0)::double, 6) as value
-from cells c cross join range(0, 10) x(i)""",
+from cells c cross join range(0, 64) x(i)""",
 )
 def flatten_seq(spark, d):
-    lists = s.event_lists(_window(spark, d), fx.vectors(spark, d), n=5)
+    lists = s.event_lists(_window(spark, d), fx.vectors(spark, d), n=5, dim=fx.WIDTH)
     flat = lists.select("pat_key", F.posexplode(arrays.flatten_seq("vectors")).alias("pos", "value"))
     return flat.select(
         "pat_key", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")

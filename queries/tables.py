@@ -65,12 +65,18 @@ def quarter_paths(spark, d):
 @query(
     "u1_union_quarters",
     with_parts("adm", "bill")
-    + " select b.* from bill b join adm a on a.pat_key = b.pat_key where a.yq // 10 in (1996, 1997, 1999)",
+    + " select b.* from bill b join adm a on a.pat_key = b.pat_key where a.yq is not null",
 )
 def union_quarters(spark, d):
     template = _quarter_files(spark, d) + "/yq={year}{quarter}"
-    by_glob = r.read_delimited(spark, r.quarter_glob(template, [1996, 1997], range(1, 5)), BILL_SCHEMA)
-    by_list = r.read_delimited(spark, r.quarter_paths(template, [1999], range(1, 5)), BILL_SCHEMA)
+    found = fx.stays(spark, d).select((F.col("yq") / 10).cast("int").alias("year"), (F.col("yq") % 10).alias("quarter"))
+    have = sorted((row["year"], row["quarter"]) for row in found.distinct().collect())  # a few dozen quarters
+    middle = have[len(have) // 2][0]
+    early = sorted({year for year, _ in have if year < middle})
+    late = sorted({year for year, _ in have if year >= middle})
+    gaps = [(year, quarter) for year in late for quarter in range(1, 5) if (year, quarter) not in have]
+    by_glob = r.read_delimited(spark, r.quarter_glob(template, early, range(1, 5)), BILL_SCHEMA)
+    by_list = r.read_delimited(spark, r.quarter_paths(template, late, range(1, 5), skip=gaps), BILL_SCHEMA)
     return r.union_quarters([by_glob, by_list])
 
 
@@ -122,12 +128,12 @@ def edge_files(spark, d):
 @query(
     "s7_embedding_table",
     with_parts("emb")
-    + """ select code, row_number() over (order by code) - 1 as position, cast(10 as bigint) as len,
+    + """ select code, row_number() over (order by code) - 1 as position, cast(64 as bigint) as len,
   round(list_sum(list_transform(v, lambda x: x::double)), 6) as total from emb
-union all select -1, (select count(*) from emb), 10, 0""",
+union all select -1, (select count(*) from emb), 64, 0""",
 )
 def embedding_table(spark, d):
-    made = vectors.embedding_table(fx.vectors(spark, d))
+    made = vectors.embedding_table(fx.vectors(spark, d), fx.WIDTH)
     return made.select("code", "position", F.size("v").cast("bigint").alias("len"), total_of("v").alias("total"))
 
 
@@ -301,7 +307,7 @@ from adm a join (select pat_key, round(coalesce(sum(list_sum(list_transform(v, l
   from cells group by pat_key) t on a.pat_key = t.pat_key where a.los > 1""",
 )
 def feature_tier_first_day(spark, d):
-    sequences = s.event_sequence(c.bill_window(fx.bill(spark, d)), fx.vectors(spark, d), n=3)
+    sequences = s.event_sequence(c.bill_window(fx.bill(spark, d)), fx.vectors(spark, d), n=3, dim=fx.WIDTH)
     stays = s.attach_features(sequences, c.cohort(fx.stays(spark, d))).where(F.col("los").isNotNull())
     total = F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double")), 4)
     return ft.feature_tier(stays, "first_day").withColumn("total", total).drop("embedding")
@@ -334,15 +340,15 @@ def with_batch_id(spark, d):
     with_parts("labelled", "ranked", "emb")
     + LISTED.format(n=100)
     + """, seq as (select pat_key,
-    round(coalesce(sum(list_sum(list_transform(v, lambda x, i: x::double * (10 * step + i)))), 0), 4) as weighted
+    round(coalesce(sum(list_sum(list_transform(v, lambda x, i: x::double * (64 * step + i)))), 0), 4) as weighted
   from cells group by pat_key)
-select l.pat_key, cast(1000 as bigint) as len, s.weighted, l.mortality_label, l.los_label, l.readmit_label,
+select l.pat_key, cast(6400 as bigint) as len, s.weighted, l.mortality_label, l.los_label, l.readmit_label,
   round(l.cost_label, 6) as cost_label, l.fold
 from labelled l join seq s on l.pat_key = s.pat_key""",
 )
 def stay_table(spark, d):
-    table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d))
+    table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d), dim=fx.WIDTH)
     kept = ["pat_key", "mortality_label", "los_label", "readmit_label", "cost_label", "fold"]
-    return weighted(table, 10, kept).withColumns(
+    return weighted(table, fx.WIDTH, kept).withColumns(
         {"cost_label": F.round("cost_label", 6), "weighted": F.coalesce("weighted", F.lit(0.0))}
     ).drop("first_at")

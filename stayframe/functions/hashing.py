@@ -23,5 +23,13 @@ def draw_chunk(draw: Column, bits: int = 12) -> Column:
 
 
 def row_id(*keys) -> Column:
-    """Stable 64-bit id of a row, from its key alone."""
-    return F.xxhash64(*keys)
+    """Stable id of a row from its key alone: a 128-bit digest, so that different keys keep different ids.
+
+    Each part is entered with its length and nulls with a mark of their own, so ('a', 'bc'), ('ab', 'c')
+    and ('a', null) differ.
+    """
+    parts = []
+    for k in keys:
+        text = (F.col(k) if isinstance(k, str) else k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat_ws("|", *parts))

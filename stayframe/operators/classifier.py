@@ -15,13 +15,18 @@ HIDDEN = [256, 128]
 
 
 def model_inputs(df: DataFrame, label: str, n: int = 100, dim: int = 10) -> DataFrame:
-    """(pat_key, label, static, pooled) from a stay table; ``fold`` is kept where there is one."""
+    """(pat_key, label, static, pooled) from a stay table; ``fold`` is kept where there is one.
+
+    A ``pooled`` column of the table (the mean over real events) is used as it is; without one the
+    flat sequence is averaged over all its slots.
+    """
+    pooled = F.col("pooled") if "pooled" in df.columns else mean_pool("embedding", n, dim)
     kept = [c for c in ("pat_key", "fold") if c in df.columns]
     return df.select(
         *kept,
         F.col(label).cast("double").alias("label"),
         array_to_vector(F.col("features").cast("array<double>")).alias("static"),
-        array_to_vector(mean_pool("embedding", n, dim)).alias("pooled"),
+        array_to_vector(pooled).alias("pooled"),
     )
 
 

@@ -80,8 +80,13 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Counts in ``bins`` equal intervals between minimum and maximum, empty ones included."""
+    """Counts in ``bins`` equal intervals between minimum and maximum, empty ones included.
+
+    Null, NaN and infinite values are left out.
+    """
     spark = df.sparkSession
+    value = F.col(col).cast("double")
+    df = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
     low, high = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
     if low is None:
         low, high = 0.0, 1.0
@@ -90,8 +95,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     step = (high - low) / bins
     place = F.floor((F.col(col).cast("double") - F.lit(low)) / F.lit(high - low) * bins)
     counted = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+        df.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))

@@ -126,21 +126,24 @@ def accuracy(df: DataFrame, label: str = "label", score: str = "score") -> DataF
 def best_run(metrics: DataFrame, patience: int = 100, min_rows: int = HOT_ROWS, **options) -> DataFrame:
     """Per run: the epoch with the least validation loss, and when training stopped.
 
-    Training stops ``patience`` epochs after the last gain; later epochs do not count.
+    Training stops ``patience`` epochs after the last gain; later epochs do not count. An epoch whose
+    loss is null or NaN is no gain; a run of such epochs alone has no best one.
     (run, best_epoch, best_loss, stop_epoch); stop_epoch is null where patience never ran out.
     """
+    usable = F.col("val_loss").isNotNull() & ~F.isnan(F.col("val_loss").cast("double"))
+    gain = F.when(usable, F.struct("val_loss", "epoch"))
     best_so_far = scan_groups(
         metrics,
         ["run"],
         ["epoch"],
         cut="epoch",
-        mins={"best": F.struct("val_loss", "epoch")},
+        mins={"best": gain},
         min_rows=min_rows,
         **options,
     )
     waited = F.col("epoch") - F.col("best.epoch") >= patience
     stop = F.min(F.when(waited, F.struct("epoch", "best")))
-    picked = best_so_far.groupBy("run").agg(stop.alias("stop"), F.min(F.struct("val_loss", "epoch")).alias("overall"))
+    picked = best_so_far.groupBy("run").agg(stop.alias("stop"), F.min(gain).alias("overall"))
     best = F.coalesce("stop.best", "overall")
     return picked.select(
         "run", best["epoch"].alias("best_epoch"), best["val_loss"].alias("best_loss"), F.col("stop.epoch").alias("stop_epoch")

@@ -117,6 +117,15 @@ def event_sequence(
     return lists.select("pat_key", flatten_seq("vectors").alias("embedding"))
 
 
+def pooled_events(
+    bill: DataFrame, emb: DataFrame, n: int = 100, dim: int = 10, broadcast_codes: int = BROADCAST_CODES
+) -> DataFrame:
+    """(pat_key, pooled): mean vector of a stay's first n events, unknown codes as zeros, empty slots left out."""
+    embedded = embed_events(first_events(bill, n), emb, bill, broadcast_codes)
+    sums = [F.sum(F.coalesce(F.get("v", F.lit(j)).cast("double"), F.lit(0.0))) / F.count(F.lit(1)) for j in range(dim)]
+    return embedded.groupBy("pat_key").agg(F.array(*sums).alias("pooled"))
+
+
 def attach_features(sequences: DataFrame, features: DataFrame, on: Sequence[str] = ("pat_key",)) -> DataFrame:
     """Left join stay-level columns to the sequence rows, one row per stay on both sides."""
     return sequences.join(features, list(on), "left")

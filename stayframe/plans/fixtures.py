@@ -8,6 +8,8 @@ from stayframe.operators.cooccurrence import code_pairs
 from stayframe.operators.ordered import scan_groups
 from stayframe.operators.skew import lookup
 
+# Values of a given vector.
+WIDTH = 64
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -103,11 +105,15 @@ def readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str, dim: int = 10) -> DataFrame:
-    """(code, v): the first ``dim`` values of each vector, which lie inside the unit ball."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("code"), F.slice("embedding", 1, dim).alias("v")
-    )
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, v): the given vectors, ``WIDTH`` values each."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("v"))
+
+
+def ball_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, v): the given vectors halved, as whole they have length 1 and lie on the ball's edge."""
+    half = F.transform("v", lambda x: x * F.lit(0.5).cast("float"))
+    return vectors(spark, sf_dir).withColumn("v", half)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,10 @@ def test_batches_are_full_but_the_last(spark):
 
 
 def test_quarter_paths_and_glob():
-    template = "/d/phd_{year}{quarter}_patbill.txt"
+    template = "/d/adm_{year}{quarter}_bill.txt"
     paths = r.quarter_paths(template, range(2010, 2019), range(1, 5), skip=[(2018, 4)])
-    assert len(paths) == 35 and paths[0] == "/d/phd_20101_patbill.txt" and paths[-1] == "/d/phd_20183_patbill.txt"
-    assert r.quarter_glob(template, [2013, 2014], [1, 2]) == "/d/phd_{2013,2014}{1,2}_patbill.txt"
+    assert len(paths) == 35 and paths[0] == "/d/adm_20101_bill.txt" and paths[-1] == "/d/adm_20183_bill.txt"
+    assert r.quarter_glob(template, [2013, 2014], [1, 2]) == "/d/adm_{2013,2014}{1,2}_bill.txt"
 
 
 def test_text_round_trip_and_jdbc_options(spark):
