@@ -16,12 +16,14 @@ from stayframe.session import scratch_path
 
 BUCKETS = 64
 _SCHEMA = "text_sha256 string, keep_id bigint, n_points bigint, group_size bigint"
-WHITE_SPACE = r"[\x20\x09-\x0D]"
+WHITE_SPACE = " \t\n\v\f\r"
 
 
 def normal_digest(text: Column) -> Column:
     """SHA-256 of the text without spaces, tabs and line ends, as lower-case hex."""
-    return F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256)
+    for space in WHITE_SPACE:  # on bytes, without a decoded copy of the text
+        text = F.replace(text, F.lit(space))
+    return F.sha2(text.cast("binary"), 256)
 
 
 class DigestIndex:

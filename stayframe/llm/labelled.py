@@ -37,13 +37,15 @@ def with_scores(docs: DataFrame, text: str, out: str, work: Callable[[pa.Array],
     A column named ``out`` is replaced; all others stay, whatever their names.
     """
     rest = docs.drop(out)
-    row = F.struct(*[rest[f"`{c}`"] for c in rest.columns]).alias("row")
-    packed = rest.select(F.col(f"`{text}`").cast("string").alias("text"), row)
+    # The text travels once, within its row.
+    packed = rest.select(F.struct(*[rest[f"`{c}`"] for c in rest.columns]).alias("row"))
+    at = rest.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array(work(batch.column(0)), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), found], ["row", "score"])
+            rows = batch.column(0)
+            found = pa.array(work(rows.field(at).cast(pa.string())), pa.float64())
+            yield pa.RecordBatch.from_arrays([rows, found], ["row", "score"])
 
     kind = packed.select("row", F.lit(0.0).alias("score")).schema
     made = packed.mapInArrow(score, kind)

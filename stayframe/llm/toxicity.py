@@ -214,7 +214,7 @@ class Network:
         np.add.at(g["gram"], _slots(words.grams, SLOTS), share)
         return loss, g
 
-    def score_windows(self, x: np.ndarray, order: np.ndarray, begin: np.ndarray, length: np.ndarray, batch: int = 4096):
+    def score_windows(self, x: np.ndarray, order: np.ndarray, begin: np.ndarray, length: np.ndarray, batch: int = 2048):
         """Logit of every window."""
         out = np.zeros(len(begin), np.float32)
         for a in range(0, len(begin), batch):
@@ -371,7 +371,7 @@ def _only(words: Words, used: np.ndarray) -> Words:
 def score_batch(net: Network, column: pa.Array) -> np.ndarray:
     """Score of each text of a column: the chance that its worst window is toxic."""
     out = np.zeros(len(column))
-    for begin, end, data, offsets in text_parts(column, 2_000_000):
+    for begin, end, data, offsets in text_parts(column, 500_000):
         words = read_words(data, offsets)
         owner, at, length = windows(words.first)
         logit = net.score_windows(net.inputs(words), words.order, at, length)

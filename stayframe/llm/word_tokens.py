@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 # Pieces a worker remembers in each of two generations; beyond that the older generation goes.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 # A longer piece is not worth remembering.
 LONGEST = 48
 # Marks a piece that no space stands before.
@@ -66,9 +66,13 @@ class WordEncoder:
         known = self._young.__getitem__
         out = [next(odd) if p is None else b"".join(map(known, p)) for p in pieces]
         if len(self._young) > self._limit:
-            self._old, self._young = {k: v for k, v in self._young.items() if len(k) <= LONGEST}, {}
+            self.rest()
         return out
 
+    def rest(self) -> None:
+        """Forget the older generation between batches of rows, as the worker may turn to other work."""
+        self._old, self._young = {k: v for k, v in self._young.items() if len(k) <= LONGEST}, {}
+
     def _learn(self, words: set[str]) -> None:
         """Put every piece of a batch into the younger generation."""
         young, old = self._young, self._old
@@ -122,3 +126,4 @@ def encode_column(path: str, column: pa.Array, most_chars: int = 1_500_000) -> I
         if held >= most_chars or i + 1 == len(column):
             yield from zip(range(begin, i + 1), encoder(path).encode(texts), strict=True)
             texts, held, begin = [], 0, i + 1
+    encoder(path).rest()
