@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from queries.cohort import total_of
 from queries.common import draw, query, with_parts
 from queries.sequence import LISTED, weighted
-from stayframe.functions.arrays import dense_u8
+from stayframe.functions.arrays import dense_u8, last_n_reshape, one_hot
 from stayframe.functions.hashing import key_draw
 from stayframe.operators import cohort as c, features as ft, folds, sequence as s
 from stayframe.plans import fixtures as fx
@@ -335,6 +335,39 @@ def with_batch_id(spark, d):
     return folds.with_batch_id(stays, 128)
 
 
+@query(
+    "k2_export_stays",
+    with_parts("labelled", "ranked", "emb")
+    + LISTED.format(n=100)
+    + """, seq as (select pat_key, count(*) as steps,
+    round(coalesce(sum(case when step = 99 then list_sum(list_transform(v, lambda x: x::double)) end), 0), 6) as newest,
+    round(coalesce(sum(case when step = 98 then list_sum(list_transform(v, lambda x: x::double)) end), 0), 6) as second
+  from cells group by pat_key)
+select l.pat_key, l.fold, s.steps, cast(64 as bigint) as width, s.newest, s.second,
+  cast(l.los_label = 0 as integer) as los0, cast(l.los_label = 1 as integer) as los1
+from labelled l join seq s on l.pat_key = s.pat_key where l.fold < 8""",
+)
+def export_stays(spark, d):
+    """The stay table written by fold with its tensor schema, checked, read back for training and reshaped."""
+    table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d), dim=fx.WIDTH)
+    path = scratch_path(spark, "export")
+    features = table.select(F.size("features")).first()[0]
+    w.write_folds(table, path, spec=w.stay_spec(100, fx.WIDTH, features))
+    rows = r.read_folds(spark, path, folds.TRAIN_FOLDS).select(
+        "pat_key", "fold", last_n_reshape("embedding", 100, fx.WIDTH).alias("m"), one_hot("los_label").alias("los")
+    )
+    return rows.select(
+        "pat_key",
+        "fold",
+        F.size("m").cast("bigint").alias("steps"),
+        F.size(F.col("m")[0]).cast("bigint").alias("width"),
+        total_of(F.col("m")[99]).alias("newest"),
+        total_of(F.col("m")[98]).alias("second"),
+        F.col("los")[0].alias("los0"),
+        F.col("los")[1].alias("los1"),
+    )
+
+
 @query(
     "c2_build_stays",
     with_parts("labelled", "ranked", "emb")

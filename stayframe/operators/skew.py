@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 # A group below this many rows is never worth splitting.
 HOT_ROWS = 1_000_000
@@ -56,11 +56,20 @@ def lookup(
     Otherwise rows of hot keys meet a broadcast of only those keys, at most about 1,000
     rows since keys are unique, and all others take the ordinary shuffle join.
     ``probe`` names a cheaper frame with the same key columns to look for hot keys in.
+    Keys of different types meet in the wider one, numbers and text as text, so nothing is cut or cast in vain.
     """
     on = list(on)
-    for c in on:
-        if one.schema[c].dataType != many.schema[c].dataType:
-            one = one.withColumn(c, F.col(c).cast(many.schema[c].dataType))
+    apart = [c for c in on if one.schema[c].dataType != many.schema[c].dataType]
+    if apart:
+        wide = {c: _wider(many.schema[c].dataType, one.schema[c].dataType) for c in apart}
+        own = {f"_wide_{c}": F.col(c).cast(t) for c, t in wide.items()}
+        many, one = many.withColumns(own), one.withColumns(own).drop(*apart)
+        probe = None if probe is None else probe.withColumns(own)
+        keys = [f"_wide_{c}" if c in wide else c for c in on]
+        met = lookup(
+            many, one, keys, how, null_safe=null_safe, broadcast_rows=broadcast_rows, probe=probe, min_rows=min_rows
+        )
+        return met.drop(*own)
     if broadcast_rows and _is_small(one, broadcast_rows):
         return _join(many, F.broadcast(one), on, how, null_safe)
     hot = hot_keys(probe if probe is not None else many, on, min_rows)
@@ -75,6 +84,20 @@ def lookup(
     )
 
 
+# Number types from narrow to wide.
+_NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def _wider(a: DataType, b: DataType) -> str:
+    """A type that holds every key of both."""
+    names = [a.simpleString(), b.simpleString()]
+    if all(n in _NUMBERS for n in names):
+        wide = max(names, key=_NUMBERS.index)
+        # Whole numbers of 64 bits and fractions: neither holds the other, a decimal holds the keys of both.
+        return "decimal(38,9)" if wide in ("float", "double") and "bigint" in names else "double" if wide == "float" else wide
+    return "string"
+
+
 def _is_small(df: DataFrame, max_rows: int) -> bool:
     """Measure rows and bytes; a table with too many rows is not read to its end."""
     width = F.lit(0).cast("bigint")

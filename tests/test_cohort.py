@@ -9,6 +9,20 @@ def stays(spark, data):
     return spark.createDataFrame(data, "pat_key bigint, los int, disc_status int, readmit_time int, pat_cost double")
 
 
+def test_lookup_of_keys_of_different_types(spark):
+    from stayframe.operators.skew import lookup
+
+    def met(many, kind, one, other):
+        left = spark.createDataFrame([(k,) for k in many], f"k {kind}")
+        right = spark.createDataFrame([(k, i) for i, k in enumerate(one)], f"k {other}, i int")
+        return [(r.k, r.i) for r in lookup(left, right, ["k"]).orderBy("k").collect()]
+
+    assert met([1, 2], "int", [2, 2_147_483_655], "bigint") == [(1, None), (2, 0)]
+    assert met([1, 2], "int", [1.5, 2.0], "double") == [(1, None), (2, 1)]
+    assert met([1, 2], "bigint", ["x", "2"], "string") == [(1, None), (2, 1)]
+    assert met(["a", "1"], "string", [1], "int") == [("1", 0), ("a", None)]
+
+
 def test_cohort_is_strictly_longer_and_cap_is_by_key(spark):
     df = stays(spark, [(5, 2, 1, 1, 0.0), (3, 9, 1, 1, 0.0), (1, 1, 1, 1, 0.0), (2, None, 1, 1, 0.0), (9, 3, 1, 1, 0.0)])
     assert rows(c.cohort(df), "pat_key") == [(3,), (5,), (9,)]
