@@ -92,7 +92,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from words),
+each as materialized (select doc_id, len(s) as n, hash(x) as h from sets, unnest(s) t(x)),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from each a join each b
+    on a.h = b.h and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id, doc_id as r from sets
+  union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select doc_id, len(s) as n_shingles, min(r) as component_id, min(r) = doc_id as kept
+from reach join sets using (doc_id) group by doc_id, len(s)"""
+)
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
@@ -122,10 +142,34 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    """
+with split as materialized (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as materialized (
+  select doc_id, i as line_no, l[i + 1] as line from split, unnest(range(len(l))) t(i) where trim(l[i + 1], ' ') <> ''),
+firsts as materialized (select line, min({'d': doc_id, 'n': line_no}) as f from lines group by line),
+long as materialized (select * from firsts where length(line) >= 12),
+cut as materialized (
+  select line, f, p, length(line) as n, hash(substr(line, 1, p) || substr(line, p + 2)) as h
+  from long, unnest(range(length(line))) t(p)),
+changed as (select h, p, n, min(f) as m from cut group by h, p, n having count(*) > 1),
+near_lines as (
+  select c.line from cut c join changed k on c.h = k.h and c.p = k.p and c.n = k.n where k.m < c.f
+  union select c.line from cut c join long w on c.h = hash(w.line) where w.f < c.f
+  union select w.line from long w join cut c on c.h = hash(w.line) where c.f < w.f),
+gone as (
+  select doc_id, line_no from lines join firsts using (line) left join near_lines using (line)
+  where near_lines.line is not null or f <> {'d': doc_id, 'n': line_no}),
+listed as (
+  select doc_id, count(*) as k, string_agg(cast(line_no as varchar), ',' order by line_no) as t from gone group by doc_id)
+select doc_id, cast(len(l) as integer) as n_lines, cast(coalesce(k, 0) as integer) as n_dropped,
+  coalesce(t, '') as dropped_lines
+from split left join listed using (doc_id)"""
+)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("dropped_lines").alias("n_dropped"), "dropped_lines")
+    listed = F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines")
+    return found.select("doc_id", "n_lines", F.size("dropped_lines").alias("n_dropped"), listed)
 
 
 @query()
