@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from stayframe.operators.skew import HOT_ROWS, hot_keys, is_hot
 
@@ -38,7 +39,7 @@ def with_quantile_chunks(
     number agrees even when tasks are run again.
     """
     basis = df if basis is None else basis
-    number = value.cast("double")
+    number = _text_place(basis, value) if isinstance(df.select(value).schema[0].dataType, StringType) else value.cast("double")
     chunks = min(max_chunks, math.ceil(basis.count() / rows_per_chunk))
     if chunks < 2:
         return df
@@ -56,6 +57,14 @@ def with_quantile_chunks(
     return cut.withColumn(CHUNK, chunk).drop("_value", "_bucket")
 
 
+def _text_place(basis: DataFrame, value: Column) -> Column:
+    """A number that never falls as the text rises: its next six bytes after what all texts begin with."""
+    low, high = (bytes(x or b"") for x in basis.agg(*[f(value).cast("binary") for f in (F.min, F.max)]).first())
+    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    part = F.hex(F.substring(value.cast("binary"), shared + 1, 6))
+    return F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],

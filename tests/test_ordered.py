@@ -100,3 +100,13 @@ def test_lookup_null_safe_keeps_null_keys(spark):
         assert got.where("g is null and v = 'none'").count() == df.where("g is null").count()
         assert got.where("g = 7 and v = 'seven'").count() == df.where("g = 7").count()
         assert got.count() == df.count()
+
+
+def test_text_keys_are_cut_like_numbers(spark):
+    names = [f"key-{i * 37 % 101:03d}é" for i in range(101)] + ["key-", "key-05"]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "k string")
+    expected = [(n, i) for i, n in enumerate([None, *sorted(names, key=lambda n: n.encode())], 1)]
+    for per_chunk in (1000, 7):
+        found = o.number_rows(df, ["k"], "n", rows_per_chunk=per_chunk).orderBy("n").collect()
+        assert [(r.k, r.n) for r in found] == expected
+    assert "_chunk" in o.with_quantile_chunks(df, F.col("k"), 7).columns
