@@ -6,11 +6,13 @@ scoring inside Spark tasks.
 
 A word enters as a hashed word vector plus the mean of its hashed character-gram vectors, beside three
 numbers taken from the sample: how much likelier toxic texts have the word, and the most and the mean
-of that over its character grams.
+of that over its character grams. A longer run than ``MOST_BYTES``, as in writing without spaces, enters
+as overlapping pieces, each a word of its own, so grams and windows go over all of its characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,12 @@ ATTEND = 8
 SLOTS = 1 << 12
 COUNT_SLOTS = 1 << 18
 GRAM = 4
+# A run of word bytes over this is cut into pieces of PIECE bytes and up to three more, one every STEP bytes.
+MOST_BYTES = 40
+PIECE = 24
+STEP = 12
+# Words of a text that are read at once in scoring.
+WORDS_AT_ONCE = 1 << 15
 # The sample that the network is fitted on.
 MOST_TOXIC = 1_500
 MOST_CLEAN = 2_500
@@ -54,10 +62,11 @@ class Words:
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    data, offsets = _cut_long_runs(data, offsets)
     hashes, begins, first = word_spans(data, offsets, True, _PARTS_WORDS)
     distinct, at, order = np.unique(hashes, return_index=True, return_inverse=True)
     begin = begins[at]
-    end = _word_ends(data, begin, offsets[np.searchsorted(offsets, begin, "right")])
+    end = _word_ends(data, begin, offsets)
     # Letters of the distinct words, each word after a mark of its own.
     lengths = end - begin + 1
     starts = np.cumsum(lengths) - lengths
@@ -77,17 +86,52 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(distinct, gram_word, mix(grams), order, first)
 
 
-def _word_ends(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """First parting byte or text end after each begin, by steps over all words at once, at most 40 bytes on."""
-    at = begin.copy()
-    live = np.arange(len(begin))
-    for _ in range(40):
-        live = live[at[live] < end[live]]
-        live = live[~_PARTS_WORDS[data[at[live]]]]
-        if not len(live):
-            break
-        at[live] += 1
-    return np.maximum(at, begin + 1)
+def _word_ends(data: np.ndarray, begin: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First parting byte or text end after each begin."""
+    parts = np.flatnonzero(_PARTS_WORDS[data[offsets[0] : offsets[-1]]]) + offsets[0]
+    parts = np.append(parts, offsets[-1])
+    return np.minimum(parts[np.searchsorted(parts, begin)], offsets[np.searchsorted(offsets, begin, "right")])
+
+
+def _cut_long_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with each run of over ``MOST_BYTES`` word bytes as pieces, a space between them.
+
+    A piece begins and ends where a character does, and the next one begins before its end.
+    """
+    low, high = int(offsets[0]), int(offsets[-1])
+    mark = _PARTS_WORDS[data[low:high]]
+    mark[offsets[offsets < high] - low] = True
+    edges = np.append(np.flatnonzero(mark) + low, high)
+    # A run lies between edges; the edge before it is its parting byte, or its own first one at a text's begin.
+    begin, end = edges[:-1] + _PARTS_WORDS[data[edges[:-1]]], edges[1:]
+    long = end - begin > MOST_BYTES
+    if not long.any():
+        return data, offsets
+    begin, end = begin[long], end[long]
+    many = 1 + np.maximum(0, -(-(end - begin - PIECE) // STEP))
+    owner = np.repeat(np.arange(len(begin)), many)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    piece = begin[owner] + step * STEP
+    stop = np.minimum(piece + PIECE, end[owner])
+    for _ in range(3):
+        piece = piece + ((piece < end[owner]) & (step > 0) & (data[np.minimum(piece, high - 1)] >> 6 == 2))
+        stop = stop + ((stop < end[owner]) & (data[np.minimum(stop, high - 1)] >> 6 == 2))
+    # Stretches of the old bytes in their order, pieces among them, each piece but a run's last with a space after it.
+    from_ = np.concatenate([piece, [low], end])
+    to = np.concatenate([stop, begin, [high]])
+    rank = np.concatenate([owner * 2 + 1, np.arange(len(begin) + 1) * 2])
+    order = np.argsort(rank, kind="stable")
+    space = np.concatenate([step + 1 < many[owner], np.zeros(len(begin) + 1, bool)])[order]
+    lengths = (to - from_)[order]
+    sizes = lengths + space
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(starts - from_[order], sizes)
+    out = data[np.minimum(at, high - 1)]
+    out[(starts + lengths)[space]] = 32
+    # No run crosses a text's end: what lies before an offset has grown by its runs' growth.
+    pieces = np.bincount(owner, stop - piece + (step + 1 < many[owner]), len(begin)).astype(np.int64)
+    grown = np.append(0, np.cumsum(pieces - (end - begin)))
+    return out, offsets - low + grown[np.searchsorted(end, offsets, "right")]
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,15 +412,35 @@ def _only(words: Words, used: np.ndarray) -> Words:
     return Words(words.hashes[used], owner, words.grams[at], np.zeros(0, np.int64), np.zeros(1, np.int64))
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First text and offsets of what is read at once: all texts, or stretches of a single long one.
+
+    A stretch begins at a whole number of steps and ends where its last window does, so all windows
+    of the text are those of its stretches.
+    """
+    if len(offsets) > 2 or offsets[-1] - offsets[0] <= WORDS_AT_ONCE:
+        yield 0, offsets
+        return
+    inside = ~_PARTS_WORDS[data[offsets[0] : offsets[-1]]]
+    begins = np.flatnonzero(inside & ~np.append(False, inside[:-1])) + offsets[0]
+    for a in range(0, max(1, len(begins) - WINDOW + STRIDE), WORDS_AT_ONCE):
+        b = a + WORDS_AT_ONCE + WINDOW - STRIDE
+        yield 0, np.array([begins[a] if a else offsets[0], begins[b] if b < len(begins) else offsets[-1]])
+
+
 def score_batch(net: Network, column: pa.Array) -> np.ndarray:
     """Score of each text of a column: the chance that its worst window is toxic."""
     out = np.zeros(len(column))
     for begin, end, data, offsets in text_parts(column, 500_000):
-        words = read_words(data, offsets)
-        owner, at, length = windows(words.first)
-        logit = net.score_windows(net.inputs(words), words.order, at, length)
-        top = np.maximum.reduceat(logit, np.searchsorted(owner, np.arange(end - begin)))
-        out[begin:end] = _sigmoid(top.astype(np.float64))
+        data, offsets = _cut_long_runs(data, offsets)
+        top = np.full(end - begin, -np.inf)
+        for owner, part in _stretches(data, offsets):
+            words = read_words(data, part)
+            at_text, at, length = windows(words.first)
+            logit = net.score_windows(net.inputs(words), words.order, at, length)
+            found = np.maximum.reduceat(logit, np.searchsorted(at_text, np.arange(len(part) - 1)))
+            top[owner : owner + len(found)] = np.maximum(top[owner : owner + len(found)], found)
+        out[begin:end] = _sigmoid(top)
     return out
 
 

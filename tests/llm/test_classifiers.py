@@ -85,6 +85,55 @@ def test_toxicity_learns_words_and_beginnings():
         assert len(set(toxicity.score_batch(only, pa.array(["", "a"])).round(3))) == 1
 
 
+def unspaced(seed, n):
+    rng = random.Random(seed)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    clean = ["".join(rng.choice(signs) for _ in range(rng.randint(20, 400))) for _ in range(n)]
+    marked = []
+    for t in clean[: n // 2]:
+        at = rng.randrange(len(t))
+        marked.append(t[:at] + "\u9f8d\u9f9c\u9f8e\u9f9f" + t[at:])
+    return marked, clean
+
+
+def test_toxicity_reads_unspaced_runs_to_their_ends():
+    net = toxicity.fit(*unspaced(1, 400))
+    marked, clean = unspaced(2, 200)
+    assert auc(toxicity.score_batch(net, pa.array(clean)), toxicity.score_batch(net, pa.array(marked))) > 0.95
+    run = "".join(clean)
+    late = toxicity.score_batch(net, pa.array([run, run + "\u9f8d\u9f9c\u9f8e\u9f9f" + clean[0]]))
+    assert late[1] > late[0] + 0.1
+
+
+def test_pieces_of_long_runs_hold_every_character():
+    runs = ["".join(chr(k) for k in range(a, a + 80)) for a in (0x100, 0x4E00, 0x1F600)] + ["".join(f"{k}x" for k in range(30))]
+    mixed = "a" + "".join(map("".join, zip(*runs[:3])))
+    texts = ["", runs[1], mixed + ", short " + runs[2], "a" * 40, "one two", runs[3], runs[0]]
+    raw = [t.encode() for t in ["before", *texts]]
+    data, offsets = np.frombuffer(b"".join(raw) + b"after", np.uint8), np.cumsum([0, *map(len, raw)])[1:]
+    cut, bounds = toxicity._cut_long_runs(data, offsets)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        words, found = t.split(" "), cut[a:b].tobytes().decode().split(" ")
+        for w in words:
+            own = [found.pop(0)]
+            while own[-1][-1:] != w[-1:]:
+                own.append(found.pop(0))
+            assert "".join(own) == w if len(w.encode()) <= 40 else all(len(x.encode()) <= 28 and x in w for x in own)
+            assert all(any(w[i : i + 2] in x for x in own) for i in range(len(w) - 1))
+        assert not found
+    words = toxicity.read_words(data, offsets)
+    assert words.first[0] == 0 and words.first[1] == 0 and words.first[4] - words.first[3] == 1 and words.first[5] - words.first[4] == 2
+
+
+def test_stretches_of_a_long_text_have_all_of_its_windows(monkeypatch):
+    net = toxicity.fit(*texts(1, 60), epochs=2)
+    for long in (" ".join(texts(3, 80)[1]), unspaced(3, 80)[1][0] * 40):
+        whole = toxicity.score_batch(net, pa.array([long]))
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 64)
+        assert abs(whole - toxicity.score_batch(net, pa.array([long]))).max() < 1e-5
+        monkeypatch.undo()
+
+
 def test_quality_estimates_the_prior_and_separates():
     rng = random.Random(4)
     good = texts(3, 1200)[1]
