@@ -1,18 +1,22 @@
 """Near duplicates: MinHash signatures joined within a Hamming distance, confirmed on full sets.
 
-A signature has ``CHUNKS * WIDTH`` slots of 16 bits. Two signatures that differ in at most
-``REACH`` slots differ in at most one slot of some chunk (pigeonhole), so each signature is entered
-under every chunk with each of its slots left out in turn, and all pairs within the distance share a
-key. Pairs that share a key are tested slot by slot, the rest on whole shingle sets.
-
-With 24 slots a pair of similarity 0.85 differs in 3.6 slots on average and in more than 11 once in
-20,000 times; one of similarity 0.9 once in many millions.
+A signature has chunks of slots of 16 bits. It is entered under every chunk with each of the chunk's
+slots left out in turn, so two signatures share a key if they differ in at most one slot of some chunk.
+Pairs that share a key are tested slot by slot, the rest on whole shingle sets.
+
+The layout follows from the similarity asked for (``layout_for``): a pair of exactly that similarity is
+missed at most once in a million times, a closer one less often. Misses are computed from the slots'
+independent chances to agree; that two different least values agree in 16 bits only adds candidates.
+Similarities for which no layout of ``MOST_SLOTS`` does that are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +27,74 @@ from stayframe.llm.shingles import mix, text_shingles
 from stayframe.llm.spread import spread_lookup
 from stayframe.session import scratch_path
 
+MISSES = 1e-6
+MOST_SLOTS = 60
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Chunks of slots in a signature, and the most slots in which a pair to be confirmed may differ."""
+
+    chunks: int
+    width: int
+    reach: int
+
+    @property
+    def slots(self) -> int:
+        return self.chunks * self.width
+
+    def misses(self, similarity: float) -> float:
+        """Upper bound of the share of pairs of a similarity that are no candidates: keyless or beyond reach."""
+        s, d, w = similarity, 1 - similarity, self.width
+        keyless = (1 - s**w - w * d * s ** (w - 1)) ** self.chunks
+        beyond = sum(math.comb(self.slots, k) * d**k * s ** (self.slots - k) for k in range(self.reach + 1, self.slots + 1))
+        return keyless + beyond
+
+
+@cache
+def layout_for(num: int, den: int) -> Layout:
+    """The layout of fewest slots, in chunks of 4 or else of 3, that misses at most ``MISSES`` at ``num / den``.
+
+    Wide chunks first: a key of three slots is shared by fewer unlike texts than one of two.
+    """
+    if not 0 < num <= den:
+        raise ValueError(f"a similarity lies above 0 and is at most 1, not {num} / {den}")
+    for width in (4, 3):
+        for chunks in range(1, MOST_SLOTS // width + 1):
+            for reach in range(2 * chunks - 1, chunks * width + 1):
+                made = Layout(chunks, width, reach)
+                if made.misses(num / den) <= MISSES:
+                    return made
+    raise ValueError(f"no signature of {MOST_SLOTS} slots finds pairs of similarity {num} / {den} with {MISSES} misses")
+
+
+# The layout of signatures where no other is named.
 CHUNKS = 6
 WIDTH = 4
 SLOTS = CHUNKS * WIDTH
-# One slot of a chunk may differ, so all chunks together may differ in this many.
+# One slot of a chunk may differ, so all chunks together may differ in this many and surely share a key.
 REACH = 2 * CHUNKS - 1
+_PLAIN = Layout(CHUNKS, WIDTH, REACH)
 # Members of a key that one task compares with each other.
 BLOCK = 1024
 _SHORT = 24
 
 _DRAW = np.random.default_rng(77)
-_FACTOR = _DRAW.integers(0, 2**64, SLOTS, np.uint64) | np.uint64(1)
-_SHIFT = _DRAW.integers(0, 2**64, SLOTS, np.uint64)
+_FACTOR = _DRAW.integers(0, 2**64, MOST_SLOTS, np.uint64) | np.uint64(1)
+_SHIFT = _DRAW.integers(0, 2**64, MOST_SLOTS, np.uint64)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of the least value under each of ``SLOTS`` hash functions of a non-empty set."""
-    out = np.empty(SLOTS, np.uint16)
-    for k in range(SLOTS):
+def signature(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """16 bits of the least value under each of ``slots`` hash functions of a non-empty set."""
+    out = np.empty(slots, np.uint16)
+    for k in range(slots):
         out[k] = (hashes * _FACTOR[k] + _SHIFT[k]).min() >> np.uint64(8) & np.uint64(0xFFFF)
     return out
 
 
-def sign(docs: DataFrame, size: int, lower: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sign(
+    docs: DataFrame, size: int, lower: bool, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS
+) -> DataFrame:
     """``doc_id, n_shingles, set_key, signature``: a digest of the set of word shingles, and its signature.
 
     A text without words has no shingles, no signature and a key of its own.
@@ -58,7 +107,7 @@ def sign(docs: DataFrame, size: int, lower: bool, text: str = "text", doc_id: st
                 counts.append(len(found))
                 raw = found.tobytes() if len(found) else f"empty {ids[i]}".encode()
                 keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-                signs.append(signature(found).tobytes() if len(found) else None)
+                signs.append(signature(found, slots).tobytes() if len(found) else None)
             made = [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "set_key", "signature"])
 
@@ -66,48 +115,48 @@ def sign(docs: DataFrame, size: int, lower: bool, text: str = "text", doc_id: st
     return rows.mapInArrow(work, "doc_id bigint, n_shingles bigint, set_key binary, signature binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, slots: int) -> np.ndarray:
     """A binary column of whole signatures as rows of slots."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, slots)
 
 
-def chunk_keys(slots: np.ndarray) -> np.ndarray:
+def chunk_keys(slots: np.ndarray, layout: Layout = _PLAIN) -> np.ndarray:
     """Keys of signatures: one column for each chunk and left-out slot."""
-    keys = np.empty((len(slots), SLOTS), np.uint64)
-    for which in range(SLOTS):
-        chunk, out = divmod(which, WIDTH)
+    keys, width = np.empty((len(slots), layout.slots), np.uint64), layout.width
+    for which in range(layout.slots):
+        chunk, out = divmod(which, width)
         key = np.full(len(slots), which, np.uint64)
-        for s in range(chunk * WIDTH, chunk * WIDTH + WIDTH):
-            if s != chunk * WIDTH + out:
+        for s in range(chunk * width, chunk * width + width):
+            if s != chunk * width + out:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, s])
         keys[:, which] = key
     return keys
 
 
-def within_reach(a: np.ndarray, b: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Pairs of signatures within ``REACH`` whose first common key is the one numbered ``which``."""
+def within_reach(a: np.ndarray, b: np.ndarray, which: np.ndarray, layout: Layout = _PLAIN) -> np.ndarray:
+    """Pairs of signatures within the layout's reach whose first common key is the one numbered ``which``."""
     differ = a != b
-    close = differ.sum(1) <= REACH
-    by_chunk = differ.reshape(-1, CHUNKS, WIDTH)
+    close = differ.sum(1) <= layout.reach
+    by_chunk = differ.reshape(-1, layout.chunks, layout.width)
     errors = by_chunk.sum(2)
     first = np.argmax(errors <= 1, axis=1)
     at = np.arange(len(a))
     out = np.where(errors[at, first] == 1, np.argmax(by_chunk[at, first], axis=1), 0)
-    return close & (errors[at, first] <= 1) & (first * WIDTH + out == which)
+    return close & (errors[at, first] <= 1) & (first * layout.width + out == which)
 
 
-def _keys(reps: DataFrame, narrow: bool) -> DataFrame:
+def _keys(reps: DataFrame, layout: Layout, narrow: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4000):
                 part = batch.slice(a, 4000)
-                slots = _matrix(part.column(2))
-                keys = pa.array(chunk_keys(slots).astype(np.int64).reshape(-1))
+                slots = _matrix(part.column(2), layout.slots)
+                keys = pa.array(chunk_keys(slots, layout).astype(np.int64).reshape(-1))
                 if narrow:
                     yield pa.RecordBatch.from_arrays([keys], ["key"])
                     continue
-                each = pa.array(np.repeat(np.arange(len(part)), SLOTS))
-                which = pa.array(np.tile(np.arange(SLOTS, dtype=np.int32), len(part)))
+                each = pa.array(np.repeat(np.arange(len(part)), layout.slots))
+                which = pa.array(np.tile(np.arange(layout.slots, dtype=np.int32), len(part)))
                 cols = [part.column(c).take(each) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([keys, which, *cols], ["key", "which", "rep", "n", "signature"])
 
@@ -145,7 +194,7 @@ def _unit_frame(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
-def _candidates(keyed: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(keyed: DataFrame, layout: Layout, num: int, den: int) -> DataFrame:
     """Members of each unit that have a partner there: ``key, i, j, block, rep``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +203,13 @@ def _candidates(keyed: DataFrame, num: int, den: int) -> DataFrame:
             run = np.repeat(np.arange(len(starts)), lengths)
             cross = rows.column("i").to_numpy() != rows.column("j").to_numpy()
             block, which = rows.column("block").to_numpy(), rows.column("which").to_numpy()
-            n, slots = rows.column("n").to_numpy(), _matrix(rows.column("signature"))
+            n, slots = rows.column("n").to_numpy(), _matrix(rows.column("signature"), layout.slots)
             hit = np.zeros(len(rows), bool)
 
             def test(a: np.ndarray, b: np.ndarray) -> None:
                 ok = (num * np.maximum(n[a], n[b]) <= den * np.minimum(n[a], n[b])) & (~cross[a] | (block[a] != block[b]))
                 a, b = a[ok], b[ok]
-                ok = within_reach(slots[a], slots[b], which[a])
+                ok = within_reach(slots[a], slots[b], which[a], layout)
                 hit[a[ok]] = True
                 hit[b[ok]] = True
 
@@ -311,10 +360,11 @@ def near_duplicates(
     columns are ignored.
     """
     plain = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = written(sign(plain, size, lower), "signed")
+    layout = layout_for(num, den)
+    signed = written(sign(plain, size, lower, slots=layout.slots), "signed")
     sets = written(equal_sets(signed), "sets")
-    counts = _keys(sets, narrow=True).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = units(_keys(sets, narrow=False), written(counts, "keys"), SLOTS * sets.count(), block)
-    members = written(_candidates(keyed, num, den), "members")
+    counts = _keys(sets, layout, narrow=True).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keyed = units(_keys(sets, layout, narrow=False), written(counts, "keys"), layout.slots * sets.count(), block)
+    members = written(_candidates(keyed, layout, num, den), "members")
     links = written(confirm(members, plain, size, lower, num, den).distinct(), "links")
     return with_components(signed, sets, links)

@@ -63,6 +63,35 @@ def test_spanning_links_skip_only_what_is_connected():
     assert {frozenset(x) for x in hamming_join.spanning_links(np.array([7, 3, 9, 5, 1]), sets, 85, 100, sides)} >= {frozenset((7, 9))}
 
 
+def test_pairs_far_below_the_usual_similarity_are_found(spark):
+    rows = []
+    for i in range(60):  # 69 words shared of 131: just above a half
+        rows += [(2 * i, " ".join(f"w{i}x{k}" for k in range(100)), None, None, None)]
+        rows += [(2 * i + 1, " ".join(f"w{i}x{k}" for k in range(31, 131)), None, None, None)]
+    found = hamming_join.near_duplicates(frame(spark, rows), size=1, num=50).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 for i in range(120)}
+
+
+@pytest.mark.parametrize("num", [50, 70, 80, 85, 90])
+def test_layouts_miss_less_than_they_say(num):
+    import numpy as np
+
+    layout, rng = hamming_join.layout_for(num, 100), np.random.default_rng(num)
+    a = rng.integers(0, 2**16, (50_000, layout.slots), np.uint16)
+    b = np.where(rng.random(a.shape) < num / 100, a, a ^ 1)
+    hits = sum(hamming_join.within_reach(a, b, np.full(len(a), w), layout) for w in range(layout.slots))
+    assert layout.misses(num / 100) <= 1e-6 and (hits <= 1).all() and (hits == 0).sum() <= 1
+    some = slice(0, 2000)
+    shared = hamming_join.chunk_keys(a[some], layout) == hamming_join.chunk_keys(b[some], layout)
+    assert (shared.any(1) >= (hits[some] == 1)).all()
+
+
+def test_similarities_beyond_all_layouts_are_refused():
+    for num in (0, 30, 101):
+        with pytest.raises(ValueError):
+            hamming_join.layout_for(num, 100)
+
+
 def test_signature_distance_is_met_by_a_key():
     import numpy as np
 
