@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stayframe.functions.arrays import default_vector, flatten_seq, zero_vector
 from stayframe.operators.ordered import scan_groups
 from stayframe.operators.skew import HOT_ROWS, hot_keys, lookup
+from stayframe.operators.topn import first_rows
 
 EVENT = ["pat_key", "std_chg_code", "serv_day"]
 PAD_CODE = -1
@@ -54,14 +55,13 @@ def rank_events(bill: DataFrame, min_rows: int = HOT_ROWS, **options) -> DataFra
     return lookup(bill, ranked.select(*EVENT, "rank"), EVENT, null_safe=True, min_rows=min_rows)
 
 
-def first_events(bill: DataFrame, n: int = 100) -> DataFrame:
+def first_events(bill: DataFrame, n: int = 100, **options) -> DataFrame:
     """Distinct events of rank 1..n in each stay, with their rank.
 
-    Among distinct events the dense rank is the row number. Filtering on it lets Spark keep
-    only n rows per stay before the shuffle on the stay as well as after.
+    Among distinct events the dense rank is the row number. No more than n rows of a stay go
+    through the shuffle on the stay, or, where n is large, of each slice of a huge stay.
     """
-    window = Window.partitionBy("pat_key").orderBy("std_chg_code", F.desc("serv_day"))
-    return dedup_events(bill).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+    return first_rows(dedup_events(bill), ["pat_key"], ["std_chg_code", F.desc("serv_day")], n, **options)
 
 
 def slots(keys: DataFrame, n: int = 100) -> DataFrame:
