@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayframe.llm import digest_index, fingerprints, hamming_join, line_dedup, packing, piece_viterbi, quality, token_files, toxicity, warc
+from stayframe.llm import (
+    collocations, digest_index, fingerprints, hamming_join, lexical_search, line_dedup, packing, piece_viterbi, quality,
+    residual_packing, token_files, toxicity, warc,
+)
 from stayframe.llm.labelled import held_out
 from stayframe.session import scratch_path
 
@@ -175,3 +178,76 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@query(
+    r"""
+with words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+asked as materialized (
+  select item_id, t, count(*) as q
+  from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)
+  group by item_id, t),
+whole as (select count(*) as docs, sum(len(w))::bigint as terms from words where len(w) > 0),
+held as materialized (
+  select doc_id, len(w) as n, t, count(*) as tf from words, unnest(w) u(t)
+  where t in (select t from asked) group by doc_id, len(w), t),
+weights as (
+  select t, floor(1000 * ln((2.0::double * docs + 2) / (2 * count(*) + 1)))::bigint as weight
+  from held, whole group by t, docs),
+scored as (
+  select item_id, doc_id,
+    sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from asked join weights using (t) join held using (t), whole group by item_id, doc_id),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from scored where score > 0)
+select * from ranked where rank <= 20"""
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents),
+words as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+whole as (select lang, sum(len(w))::hugeint as n from words group by lang),
+runs as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, unnest(range(1, len(w) + 1)) as i from words), unnest(range(1, 6)) t(k) where i + k - 1 <= len(w)),
+often as materialized (select lang, phrase, k, count(*) as f from runs group by lang, phrase, k having count(*) >= 100),
+cuts as (
+  select o.lang, o.phrase, o.f as a, c, string_split(o.phrase, ' ') as w from often o, unnest(range(1, o.k)) t(c)),
+scored as (
+  select cuts.lang, cuts.phrase, a, c, x.f as l, y.f as r, n, (1000 * a::hugeint * n) // (x.f::hugeint * y.f) as score
+  from cuts join often x on x.lang = cuts.lang and x.phrase = array_to_string(w[1:c], ' ')
+    join often y on y.lang = cuts.lang and y.phrase = array_to_string(w[c + 1:], ' ')
+    join whole on whole.lang = cuts.lang),
+worst as (
+  select lang, phrase, a, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'c': c}) as cut, any_value(n) as n
+  from scored group by lang, phrase, a),
+inside as (
+  select distinct o.lang, o.f, array_to_string(string_split(o.phrase, ' ')[i:i + j - 1], ' ') as phrase
+  from often o, unnest(range(2, o.k)) t(j), unnest(range(1, 5)) u(i) where i + j - 1 <= o.k),
+kept as (
+  select * from worst where not exists (
+    select 1 from inside where inside.lang = worst.lang and inside.phrase = worst.phrase and 100 * inside.f >= 100 * worst.a)),
+ranked as (
+  select lang, row_number() over (partition by lang order by cut.score desc, a desc, encode(phrase)) as rank, phrase, a,
+    cut.l as l, cut.r as r, n::bigint as n, cut.score::bigint as score from kept)
+select * from ranked where rank <= 2000"""
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("words", "doc_id")
