@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stayframe.llm.polynomials import runs, unlike
 from stayframe.llm.shingles import mix, text_parts
 from stayframe.llm.spread import spread_lookup
 from stayframe.operators.topn import first_rows
@@ -50,26 +51,6 @@ _COUNTED = 2_000_000
 _BITS_A_KEY = 32
 _LEAST_BITS, MOST_BITS = 16, 27
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers of an odd number modulo 2^64, remembered by the worker."""
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _POWERS[base] = np.multiply.accumulate(steps)
-    return _POWERS[base][:n]
-
-
-def runs(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """The polynomial of each run ``values[begin:end]`` modulo 2^64, by differences of the prefix polynomials."""
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values)), out=prefix[1:])
-    back = _powers(pow(base, -1, 2**64), len(values) + 1)
-    return (prefix[ends] - prefix[begins]) * back[begins]
-
-
 @dataclass
 class Words:
     """Words of some texts in order; the first ``seen`` were given out before and only lead up to the others."""
@@ -266,11 +247,10 @@ def _word_ids(data: np.ndarray, words: Words) -> np.ndarray:
     lengths = words.ends - words.begins
     like = first[ids]
     odd = lengths != lengths[like]
-    ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1])) - np.repeat(ends - lengths, lengths)
-    other = np.minimum(np.repeat(words.begins[like], lengths) + at, len(data) - 1)
-    differ = _LOWER[data[np.repeat(words.begins, lengths) + at]] != _LOWER[data[other]]
-    odd |= np.logical_or.reduceat(differ, ends - lengths)
+    same = np.flatnonzero(~odd)
+    begins = words.begins - words.begins[0]
+    low = _LOWER[data[words.begins[0] : words.ends[-1]]]
+    odd[same] = unlike(low, begins[same], low, begins[like[same]], lengths[same])
     new: dict[bytes, int] = {}
     for w in np.flatnonzero(odd).tolist():
         text = _LOWER[data[words.begins[w] : words.ends[w]]].tobytes()

@@ -8,7 +8,7 @@ from common import ODD, empty, frame
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from stayframe.llm import packing, piece_viterbi, simple8b, token_files
+from stayframe.llm import packing, piece_viterbi, simple8b, token_files, word_tokens
 from stayframe.llm.word_tokens import WordEncoder
 from stayframe.session import scratch_path
 
@@ -20,7 +20,7 @@ TEXT = st.lists(st.sampled_from(ALPHABET), max_size=25).map("".join)
 
 @pytest.fixture(scope="module", params=[BYTES, WORDS])
 def words(request):
-    return WordEncoder(request.param, remembered=50)
+    return WordEncoder(request.param, remembered=2000)
 
 
 def whole_ids(path, text, end):
@@ -39,6 +39,23 @@ def test_words_equal_whole_texts(words):
     assert words.encode(texts) == words.whole(texts) == words.encode(texts)
 
 
+def test_pieces_that_share_a_hash_are_not_mixed_up(monkeypatch):
+    monkeypatch.setattr(word_tokens, "mix", lambda hashes: hashes % np.uint64(3))
+    words = WordEncoder(WORDS)
+    texts = ["some words, that differ.", "", "other words that differ", "a", "some more words"]
+    for _ in range(2):
+        assert words.encode(texts) == words.whole(texts)
+        texts = texts[::-1]
+
+
+def test_what_is_remembered_is_bounded():
+    words = WordEncoder(WORDS, remembered=20_000)
+    for n in range(40):
+        texts = [" ".join(f"w{n * 50 + i}" for i in range(200))]
+        assert words.encode(texts) == words.whole(texts)
+        assert len(words._met) < 800
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=300), st.integers(1, 70))
 def test_word_aligned_coding(values, unit):
