@@ -70,7 +70,7 @@ def lookup(
             many, one, keys, how, null_safe=null_safe, broadcast_rows=broadcast_rows, probe=probe, min_rows=min_rows
         )
         return met.drop(*own)
-    if broadcast_rows and _is_small(one, broadcast_rows):
+    if broadcast_rows and is_small(one, broadcast_rows):
         return _join(many, F.broadcast(one), on, how, null_safe)
     hot = hot_keys(probe if probe is not None else many, on, min_rows)
     if not hot:
@@ -98,7 +98,7 @@ def _wider(a: DataType, b: DataType) -> str:
     return "string"
 
 
-def _is_small(df: DataFrame, max_rows: int) -> bool:
+def is_small(df: DataFrame, max_rows: int) -> bool:
     """Measure rows and bytes; a table with too many rows is not read to its end."""
     width = F.lit(0).cast("bigint")
     for field in df.schema:
