@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stayframe.llm.hamming_join import confirm, equal_sets, units, with_components, written
+from stayframe.llm.hamming_join import confirm, equal_sets, few_rows_at_once, key_counts, units, with_components, written
 from stayframe.llm.shingles import mix, shingles, text_parts, text_shingles, word_hashes
 from stayframe.llm.spread import text_or_empty
 from stayframe.session import scratch_path
@@ -192,12 +192,13 @@ def linked(
                 key = np.full(len(batch), b, np.uint64)
                 for s in range(b * BAND, b * BAND + BAND):
                     key = mix(key * np.uint64(257) + prints[:, s])
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column(0)], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column(0), batch.column(2)], ["key", "rep", "n"])
 
     signed = written(plain.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_key binary, signature binary"), "signed")
     sets = written(equal_sets(signed), "sets")
-    keyed = sets.select("rep", "signature").mapInArrow(bands, "key bigint, rep bigint")
-    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band-sizes")
+    keyed = sets.select("rep", "signature", "n").mapInArrow(bands, "key bigint, rep bigint, n bigint")
+    counts = written(key_counts(keyed), "band-sizes")
     members = units(keyed, counts, BANDS * sets.count(), block).select("key", "i", "j", "block", "rep")
-    links = written(confirm(members, plain, size, True, num, den).distinct(), "links")
+    with few_rows_at_once(docs.sparkSession):
+        links = written(confirm(members, plain, size, True, num, den).distinct(), "links")
     return with_components(signed, sets, links)

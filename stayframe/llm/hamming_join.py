@@ -4,10 +4,12 @@ A signature has chunks of slots of 16 bits. It is entered under every chunk with
 slots left out in turn, so two signatures share a key if they differ in at most one slot of some chunk.
 Pairs that share a key are tested slot by slot, the rest on whole shingle sets.
 
-The layout follows from the similarity asked for (``layout_for``): a pair of exactly that similarity is
-missed at most once in a million times, a closer one less often. Misses are computed from the slots'
-independent chances to agree; that two different least values agree in 16 bits only adds candidates.
-Similarities for which no layout of ``MOST_SLOTS`` does that are refused.
+With ``c`` chunks, ``2 c - 1`` slots may differ in all: then some chunk has one error at most. So every pair
+of signatures within that distance shares a key, whatever the data (pigeonhole). The layout follows from the
+similarity asked for (``layout_for``): a pair of exactly that similarity has signatures further apart at most
+once in a million times, a closer one less often. These odds are computed from the slots' independent
+chances to agree; that two different least values agree in 16 bits only adds candidates. Similarities that no
+layout serves so are refused.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayframe.llm.components import components
 from stayframe.llm.shingles import mix, text_shingles
@@ -28,43 +31,44 @@ from stayframe.llm.spread import spread_lookup
 from stayframe.session import scratch_path
 
 MISSES = 1e-6
-MOST_SLOTS = 60
+# The most slots of a signature, by the width of its chunks. Wide chunks come first: a key of three slots is
+# shared by fewer unlike texts than one of two, and far fewer than one of a single slot.
+MOST_BY_WIDTH = {4: 40, 3: 60, 2: 24}
+MOST_SLOTS = max(MOST_BY_WIDTH.values())
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Chunks of slots in a signature, and the most slots in which a pair to be confirmed may differ."""
+    """Chunks of slots in a signature."""
 
     chunks: int
     width: int
-    reach: int
 
     @property
     def slots(self) -> int:
         return self.chunks * self.width
 
+    @property
+    def reach(self) -> int:
+        """The most slots in which two signatures may differ and surely share a key."""
+        return 2 * self.chunks - 1
+
     def misses(self, similarity: float) -> float:
-        """Upper bound of the share of pairs of a similarity that are no candidates: keyless or beyond reach."""
-        s, d, w = similarity, 1 - similarity, self.width
-        keyless = (1 - s**w - w * d * s ** (w - 1)) ** self.chunks
-        beyond = sum(math.comb(self.slots, k) * d**k * s ** (self.slots - k) for k in range(self.reach + 1, self.slots + 1))
-        return keyless + beyond
+        """The share of pairs of a similarity whose signatures are further apart than ``reach``."""
+        s, d = similarity, 1 - similarity
+        return sum(math.comb(self.slots, k) * d**k * s ** (self.slots - k) for k in range(self.reach + 1, self.slots + 1))
 
 
 @cache
 def layout_for(num: int, den: int) -> Layout:
-    """The layout of fewest slots, in chunks of 4 or else of 3, that misses at most ``MISSES`` at ``num / den``.
-
-    Wide chunks first: a key of three slots is shared by fewer unlike texts than one of two.
-    """
+    """The layout of the widest chunks, and then of the fewest, that misses at most ``MISSES`` at ``num / den``."""
     if not 0 < num <= den:
         raise ValueError(f"a similarity lies above 0 and is at most 1, not {num} / {den}")
-    for width in (4, 3):
-        for chunks in range(1, MOST_SLOTS // width + 1):
-            for reach in range(2 * chunks - 1, chunks * width + 1):
-                made = Layout(chunks, width, reach)
-                if made.misses(num / den) <= MISSES:
-                    return made
+    for width, most in MOST_BY_WIDTH.items():
+        for chunks in range(1, most // width + 1):
+            made = Layout(chunks, width)
+            if made.misses(num / den) <= MISSES:
+                return made
     raise ValueError(f"no signature of {MOST_SLOTS} slots finds pairs of similarity {num} / {den} with {MISSES} misses")
 
 
@@ -72,11 +76,13 @@ def layout_for(num: int, den: int) -> Layout:
 CHUNKS = 6
 WIDTH = 4
 SLOTS = CHUNKS * WIDTH
-# One slot of a chunk may differ, so all chunks together may differ in this many and surely share a key.
-REACH = 2 * CHUNKS - 1
-_PLAIN = Layout(CHUNKS, WIDTH, REACH)
-# Members of a key that one task compares with each other.
+_PLAIN = Layout(CHUNKS, WIDTH)
+REACH = _PLAIN.reach
+# Members of a key that one task compares with each other, and bytes of their whole sets.
 BLOCK = 1024
+BLOCK_BYTES = 8_000_000
+# Rows of texts or sets that a task is handed at once.
+_FEW_ROWS = 256
 _SHORT = 24
 
 _DRAW = np.random.default_rng(77)
@@ -152,15 +158,15 @@ def _keys(reps: DataFrame, layout: Layout, narrow: bool) -> DataFrame:
                 part = batch.slice(a, 4000)
                 slots = _matrix(part.column(2), layout.slots)
                 keys = pa.array(chunk_keys(slots, layout).astype(np.int64).reshape(-1))
+                each = pa.array(np.repeat(np.arange(len(part)), layout.slots))
                 if narrow:
-                    yield pa.RecordBatch.from_arrays([keys], ["key"])
+                    yield pa.RecordBatch.from_arrays([keys, part.column(1).take(each)], ["key", "n"])
                     continue
-                each = pa.array(np.repeat(np.arange(len(part)), layout.slots))
                 which = pa.array(np.tile(np.arange(layout.slots, dtype=np.int32), len(part)))
                 cols = [part.column(c).take(each) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([keys, which, *cols], ["key", "which", "rep", "n", "signature"])
 
-    kind = "key bigint" if narrow else "key bigint, which int, rep bigint, n bigint, signature binary"
+    kind = "key bigint, n bigint" if narrow else "key bigint, which int, rep bigint, n bigint, signature binary"
     return reps.select("rep", "n", "signature").mapInArrow(work, kind)
 
 
@@ -263,7 +269,10 @@ def spanning_links(
 
 
 def confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: int, den: int) -> DataFrame:
-    """Spanning links ``a, b`` of each unit, on the members' full sets taken from their texts again."""
+    """Spanning links ``a, b`` of each unit, on the members' full sets taken from their texts again.
+
+    A task holds the sets of one unit, twice ``BLOCK_BYTES`` or so, and is handed a few rows at a time.
+    """
     units = members.groupBy("rep").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("units"))
     # Members grow with the corpus: the same join at every size, not a broadcast while they are few.
     texts = docs.join(units.hint("merge"), docs["doc_id"] == units["rep"]).select("rep", "text", "units")
@@ -274,11 +283,14 @@ def confirm(members: DataFrame, docs: DataFrame, size: int, lower: bool, num: in
             rows, held = [], 0
             for i, found in text_shingles(batch.column(1), size, lower):
                 raw = found.tobytes()
-                rows += [{**unit, "rep": reps[i], "set": raw} for unit in units[i]]
-                held += len(raw) * len(units[i])
-                if held > 8_000_000 or i + 1 == len(reps):
-                    yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows, held = [], 0
+                for unit in units[i]:
+                    rows.append({**unit, "rep": reps[i], "set": raw})
+                    held += len(raw) + 50
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_pylist(rows, kind)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kind)
 
     kind = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("set", pa.binary())])
     met = texts.mapInArrow(sets, "key bigint, i int, j int, block int, rep bigint, set binary")
@@ -311,11 +323,13 @@ def equal_sets(signed: DataFrame) -> DataFrame:
 def units(keyed: DataFrame, counts: DataFrame, total: int, block: int) -> DataFrame:
     """Rows whose key others have too, in units ``key, i, j`` that one task compares.
 
-    A key with more than ``block`` members is compared block against block, each pair of blocks a unit.
-    ``counts`` has ``key, size`` of shared keys, ``total`` is the number of keyed rows.
+    A key with more than ``block`` members, or ``BLOCK_BYTES`` of sets, is compared block against block, each
+    pair of blocks a unit. ``counts`` has ``key, size, shingles`` of shared keys: their members and the sum of
+    these members' set sizes. ``total`` is the number of keyed rows.
     """
     met = spread_lookup(keyed, counts, ["key"], "size", total).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    by_bytes = F.least(F.ceil(8 * F.col("shingles") / BLOCK_BYTES), F.col("size"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), by_bytes).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -339,6 +353,18 @@ def with_components(signed: DataFrame, sets: DataFrame, links: DataFrame) -> Dat
     )
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = _FEW_ROWS) -> Iterator[None]:
+    """What is written inside hands tasks at most so many rows at once: for rows that may hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again."""
     place = scratch_path(df.sparkSession, name)
@@ -346,6 +372,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def key_counts(keyed: DataFrame) -> DataFrame:
+    """``key, size, shingles`` of the keys of more than one row of ``key, n``."""
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+
+
 def near_duplicates(
     docs: DataFrame, *, size: int = 3, num: int = 85, den: int = 100, lower: bool = True, block: int = BLOCK,
     text: str = "text", doc_id: str = "doc_id",
@@ -361,10 +392,12 @@ def near_duplicates(
     """
     plain = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     layout = layout_for(num, den)
-    signed = written(sign(plain, size, lower, slots=layout.slots), "signed")
+    with few_rows_at_once(docs.sparkSession, 10 * _FEW_ROWS):
+        signed = written(sign(plain, size, lower, slots=layout.slots), "signed")
     sets = written(equal_sets(signed), "sets")
-    counts = _keys(sets, layout, narrow=True).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = units(_keys(sets, layout, narrow=False), written(counts, "keys"), layout.slots * sets.count(), block)
+    counts = written(key_counts(_keys(sets, layout, narrow=True)), "keys")
+    keyed = units(_keys(sets, layout, narrow=False), counts, layout.slots * sets.count(), block)
     members = written(_candidates(keyed, layout, num, den), "members")
-    links = written(confirm(members, plain, size, lower, num, den).distinct(), "links")
+    with few_rows_at_once(docs.sparkSession):
+        links = written(confirm(members, plain, size, lower, num, den).distinct(), "links")
     return with_components(signed, sets, links)
