@@ -200,9 +200,9 @@ def fit_labelled(
     return fit(good, sample_texts(rows, rows, most_unlabelled, longest))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` between 0 and 1 for every row, null and empty texts too.
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
+    """``docs`` with a score ``out`` between 0 and 1 for every row, null and empty texts too.
 
     A column of that name is replaced; all others stay, whatever their names.
     """
-    return with_scores(docs, text, "quality_score", lambda column: model.score(text_features(column)))
+    return with_scores(docs, text, out, lambda column: model.score(text_features(column)))

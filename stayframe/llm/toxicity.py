@@ -455,8 +455,8 @@ def fit_labelled(
     return fit(toxic, sample_texts(rows, marked.where("toxic = 0"), most_clean, longest), epochs=epochs)
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` between 0 and 1 for every row, null and empty texts too.
+def score(docs: DataFrame, net: Network, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with a score ``out`` between 0 and 1 for every row, null and empty texts too.
 
     The network travels to the tasks once as a broadcast of fixed size. A column of that name is
     replaced; all other columns stay, whatever their names.
@@ -468,4 +468,4 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
         own.p, own.odds = shared.value
         return score_batch(own, column)
 
-    return with_scores(docs, text, "toxicity", work)
+    return with_scores(docs, text, out, work)

@@ -107,6 +107,29 @@ def test_signature_distance_is_met_by_a_key():
     assert (hits == 1).all()  # each pair is met under one of its keys only
 
 
+@pytest.mark.parametrize("num", [50, 60, 70, 80, 85, 90, 95])
+def test_every_distance_within_reach_is_met_by_a_key(num):
+    import numpy as np
+
+    layout, rng = hamming_join.layout_for(num, 100), np.random.default_rng(num)
+    a = rng.integers(0, 2**16, (1500, layout.slots), np.uint16)
+    b = a.copy()
+    for row in b:  # up to ``reach`` slots differ, anywhere
+        at = rng.choice(layout.slots, rng.integers(layout.reach // 2, layout.reach + 1), replace=False)
+        row[at] ^= 1
+    ka, kb = hamming_join.chunk_keys(a, layout), hamming_join.chunk_keys(b, layout)
+    assert (ka == kb).any(1).all()
+    hits = sum(hamming_join.within_reach(a, b, np.full(len(a), w), layout) for w in range(layout.slots))
+    assert (hits == 1).all()
+
+
+def test_units_are_bounded_in_bytes(spark, monkeypatch):
+    texts = near_texts(31, groups=4, copies=12)
+    monkeypatch.setattr(hamming_join, "BLOCK_BYTES", 2000)  # a few sets
+    found = hamming_join.near_duplicates(frame(spark, [(i, t, None, None, None) for i, t in texts])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == components_of(texts, 3, 85, 100)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(30)] + [(rng.randint(300, 340), rng.randint(300, 340)) for _ in range(60)] + [(5, 5)]
