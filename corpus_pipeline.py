@@ -1,9 +1,9 @@
 """The text-corpus pipeline: filters, duplicates and packing, each stage written and read again.
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a frame. All but the last return the columns of
-``documents``; labels are read from ``sf_dir``. Texts and ids may be null: a null text counts as empty
-wherever an operator says so, and a row without an id is kept by the duplicate stages unless its text
-was seen before.
+``documents``; labels are read from ``sf_dir``. Texts and ids may be null and ids may repeat: a null text
+counts as empty wherever an operator says so, and the duplicate stages tell rows apart by a key of their own.
+Columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stayframe.llm import digest_index, hamming_join, packing, quality, toxicity
 from stayframe.llm.labelled import held_out
 from stayframe.llm.queries import vocabulary
-from stayframe.llm.spread import text_or_empty
+from stayframe.llm.row_keys import free_name, with_row_key, without
 from stayframe.session import scratch_path
 
 TOXIC_FROM = 0.3
@@ -26,31 +26,32 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity is 0.3 or more go. Labels of every fourth id, by crc32, are never looked at."""
-    net = toxicity.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 4, 2))
-    return toxicity.score(docs, net).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    net, out = toxicity.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 4, 2)), free_name(docs, "toxicity")
+    return toxicity.score(docs, net, out=out).where(F.col(out) < TOXIC_FROM).drop(out)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality is below 0.5 go. Labels of every third id, by crc32, are never looked at."""
-    model = quality.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 3, 1))
-    return quality.score(docs, model).where(F.col("quality_score") >= GOOD_FROM).select(*docs.columns)
+    model, out = quality.fit_labelled(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 3, 1)), free_name(docs, "quality_score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= GOOD_FROM).drop(out)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text stays, white space aside: the longest original, then the smallest id.
 
-    Rows that repeat both an id and its text are one document and stay together.
+    Rows with a null or repeated id are rows of their own and come after all others.
     """
-    gone = digest_index.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_text"))
-    own = digest_index.normal_digest(text_or_empty(docs, "text"))
-    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")) & (own == F.col("_text")), "left_anti")
+    rows, key = with_row_key(docs)
+    return without(rows, key, digest_index.exact_dedup(rows, doc_id=key).where("not kept").select("doc_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id stays of documents that links of similarity 0.8 on five-word shingles join."""
-    found = hamming_join.near_duplicates(docs, size=5, num=80, den=100)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The smallest id stays of documents that links of similarity 0.8 on five-word shingles join.
+
+    Rows with a null or repeated id are documents of their own and come after all others.
+    """
+    rows, key = with_row_key(docs)
+    return without(rows, key, hamming_join.near_duplicates(rows, size=5, num=80, den=100, doc_id=key).where("not kept").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
