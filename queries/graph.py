@@ -153,12 +153,79 @@ def negative_samples(spark, d):
     return p.negative_samples(_edge_table(spark, d), n=50)
 
 
+DIM = 8
+# One epoch over all edges of both directions but the held-out ones, five negatives each, at the full rate.
+EPOCH = """, both_ways as (select id1, id2 from edges union select id2, id1 from edges),
+ids as (select distinct id1 as code from both_ways),
+nodes as materialized (select code, row_number() over (order by code) as n from ids),
+links as (select id1, id2 from both_ways union select code, code from nodes),
+taken as (select id1, list(n order by n) as held from links join nodes on id2 = code group by id1),
+free as materialized (select id1, list_filter(range(1, (select count(*) + 1 from nodes)), lambda x: not list_contains(held, x)) as free from taken),
+parts as materialized (select *, {held} < {share} as is_held from both_ways),
+terms as materialized (
+  select id1 as e1, id2 as e2, id1, id2 as target, 1 as positive, is_held from parts
+  union all
+  select e.id1, e.id2, e.id1, nodes.code, 0, is_held from parts e join free on e.id1 = free.id1 cross join range(1, 6) r(k)
+  join nodes on nodes.n = free[(case when is_held then {draw0} else {draw1} end) % len(free) + 1]),
+start as materialized (select code, [{start}] as v from nodes),
+""".format(
+    held=draw(1, "'held'", "least(id1, id2)", "greatest(id1, id2)"),
+    share=round(0.1 * 2**32),
+    draw0=draw(0, "e.id1", "e.id2", "k"),
+    draw1=draw(1, "e.id1", "e.id2", "k"),
+    start=", ".join(f"({draw(1, 'code', str(j))} / 4294967296.0::double - 0.5::double) * 2e-3::double" for j in range(DIM)),
+)
+
+
+def _far(name: str, vectors: str, held: str) -> str:
+    """SQL of the terms' distances and shares under some vectors."""
+    return f"""{name}_m as (
+  select t.*, a.v as u, b.v as w, 1 - list_dot_product(a.v, a.v) as ru, 1 - list_dot_product(b.v, b.v) as rv,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as gap
+  from terms t join {vectors} a on a.code = t.id1 join {vectors} b on b.code = t.target where {held}),
+{name}_n as (select *, exp(-acosh(1 + 2 * gap / (ru * rv))) as near, 4 / sqrt(greatest((1 + 2 * gap / (ru * rv)) * (1 + 2 * gap / (ru * rv)) - 1, 1e-12)) as s from {name}_m),
+{name} as materialized (select *, near / sum(near) over (partition by e1, e2) as share from {name}_n)"""
+
+
+MOVED = EPOCH + _far("trained", "start", "not is_held") + """,
+pulls as (
+  select id1 as code, list_transform(list_zip(u, w), lambda z: (positive - share) * (s / rv * (gap + ru) / (ru * ru) * z[1] - s / rv / ru * z[2])) as g from trained
+  union all
+  select target, list_transform(list_zip(u, w), lambda z: (positive - share) * (s / ru * (gap + rv) / (rv * rv) * z[2] - s / ru / rv * z[1])) from trained),
+means as (select code, [""" + ", ".join(f"avg(g[{j}])" for j in range(1, DIM + 1)) + """] as g from pulls group by code),
+moved as materialized (
+  select code, case when g is null then v else list_transform(list_zip(v, g), lambda z: z[1] - 0.3::double * (pow(1 - list_dot_product(v, v), 2) / 4) * z[2]) end as v
+  from start left join means using (code))"""
+
+
+def _one_epoch(spark, d):
+    return p.fit_embedding(_edge_table(spark, d), dim=DIM, epochs=1, negs=5, burnin=0, holdout=0.1)
+
+
+@query(
+    "g3_epoch_vectors",
+    with_parts("edges") + MOVED + " select code, cast(i as integer) as place, round(v[i + 1], 7) as x from moved, range(0, 8) r(i)",
+)
+def epoch_vectors(spark, d):
+    """Every value of every vector after one epoch from the hashed start vectors."""
+    return _one_epoch(spark, d).vectors.select("code", F.posexplode("v").alias("place", "x")).withColumn("x", F.round("x", 7))
+
+
+@query(
+    "g3_epoch_losses",
+    with_parts("edges") + MOVED + ", " + _far("judged", "moved", "is_held") + """
+select 1 as epoch, (select round(avg(-ln(share)), 7) from trained where positive = 1) as train_loss,
+  (select round(avg(-ln(share)), 7) from judged where positive = 1) as held_loss""",
+)
+def epoch_losses(spark, d):
+    """Loss of the epoch on its edges, and of the vectors after it on the held-out ones."""
+    return _one_epoch(spark, d).losses().select("epoch", *[F.round(c, 7).alias(c) for c in ("train_loss", "held_loss")])
+
+
 @query("g3_train_embedding")
 def train_embedding(spark, d):
-    """Loss-side view of a short training run: vector length and norm of every code."""
-    emb = p.train_embedding(_edge_table(spark, d), dim=8, epochs=2, negs=5, burnin=1)
-    squares = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    return emb.select("code", F.size("v").alias("dim"), F.sqrt(squares).alias("norm"))
+    """The vectors of a run with all settings as they are."""
+    return p.train_embedding(_edge_table(spark, d))
 
 
 @query(
