@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queries.common import draw, query, with_parts
 from stayframe.operators import cohort as c, cooccurrence as g, poincare as p
+from stayframe.operators.edge_table import EdgeTable
 from stayframe.plans import fixtures as fx
 from stayframe.session import cut_lineage
 
@@ -57,6 +60,20 @@ def quarterly_pairs(spark, d):
     return g.code_pairs(fx.quarterly_bill(spark, d), on=["yq", "pat_key", "serv_day"])
 
 
+@query(
+    "j7_edge_table",
+    with_parts("quarterly") + " select id1, id2, cast(sum(weight) as bigint) as weight from quarterly group by id1, id2",
+)
+def edge_table(spark, d):
+    """Year after year merged into the persistent table: the same as all quarters at once."""
+    lines = cut_lineage(fx.quarterly_bill(spark, d))
+    years = sorted(r[0] for r in lines.select(F.floor(F.col("yq") / 10).alias("year")).distinct().collect())
+    table = EdgeTable(spark, f"edges_{uuid.uuid4().hex[:12]}")
+    for year in years:
+        table.merge(g.code_pairs(lines.where(F.floor(F.col("yq") / 10) == year), on=["yq", "pat_key", "serv_day"]))
+    return table.edges()
+
+
 @query("p5_filter_edges", with_parts("edges") + " select * from edges where weight >= 2")
 def filter_edges(spark, d):
     return g.filter_edges(fx.edges(spark, d), 2)

@@ -21,7 +21,11 @@ from stayframe.operators.skew import HOT_ROWS, hot_keys, is_hot
 CHUNK = "_chunk"
 SIDE = "_side"
 ROWS_PER_CHUNK = 250_000
-MAX_CHUNKS = 8_192
+# Cut points are constants of the plan, so their number is bounded; beyond four billion rows in one order chunks grow.
+MAX_CHUNKS = 16_384
+# Sampled values for each cut point, and rounds of cutting chunks that came out too large.
+_SAMPLED = 20
+_ROUNDS = 3
 
 
 def with_quantile_chunks(
@@ -34,35 +38,76 @@ def with_quantile_chunks(
     """Add a chunk number that grows with ``value``; chunks hold about equally many rows.
 
     A frame of no more than ``rows_per_chunk`` rows (counted) needs no chunks and gets no number.
-    Otherwise one aggregate over ``basis`` (default: the frame itself) yields the cut points, fewer
-    than ``max_chunks`` numbers. They enter the plan as constants, so every use of the chunk
-    number agrees even when tasks are run again.
+    Otherwise a bounded sample of ``basis`` (default: the frame itself) yields the cut points, and a count
+    of every interval shows which are still too large and are cut again. The points enter the plan as
+    constants, so every use of the chunk number agrees even when tasks are run again. No task and not the driver
+    holds more than the sample, some twenty numbers for each cut point.
     """
     basis = df if basis is None else basis
-    number = _text_place(basis, value) if isinstance(df.select(value).schema[0].dataType, StringType) else value.cast("double")
-    chunks = min(max_chunks, math.ceil(basis.count() / rows_per_chunk))
+    total = basis.count()
+    chunks = min(max_chunks, math.ceil(total / rows_per_chunk))
     if chunks < 2:
         return df
-    grid = F.expr("array(" + ",".join(f"{i / chunks}D" for i in range(1, chunks)) + ")")
-    cuts = basis.agg(F.percentile_approx(number, grid, 10 * chunks)).first()[0]
-    chosen = sorted(c for c in set(cuts or []) if math.isfinite(c))
+    number = value.cast("double")
+    if isinstance(df.select(value).schema[0].dataType, StringType):
+        number = _text_place(basis, value, min(1.0, _SAMPLED * chunks / total))
+    chosen = _cut_points(basis.select(number.alias("_value")).where("_value is not null and not isnan(_value)"), total, chunks, max_chunks)
     if not chosen:
         return df
-    cutter = Bucketizer(
-        splits=[-math.inf, *chosen, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep"
-    )
-    cut = cutter.transform(df.withColumn("_value", number))
+    cut = _cut(df.withColumn("_value", number), chosen)
     # Nulls sort first, so they come before every other chunk.
     chunk = F.when(F.col("_value").isNull(), -1).otherwise(F.col("_bucket").cast("int"))
     return cut.withColumn(CHUNK, chunk).drop("_value", "_bucket")
 
 
-def _text_place(basis: DataFrame, value: Column) -> Column:
-    """A number that never falls as the text rises: its next six bytes after what all texts begin with."""
-    low, high = (bytes(x or b"") for x in basis.agg(*[f(value).cast("binary") for f in (F.min, F.max)]).first())
+def _cut(rows: DataFrame, points: Sequence[float]) -> DataFrame:
+    splits = [-math.inf, *points, math.inf]
+    return Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket", handleInvalid="keep").transform(rows)
+
+
+def _cut_points(values: DataFrame, total: int, chunks: int, max_chunks: int) -> list[float]:
+    """Points that cut ``_value`` into about ``chunks`` intervals of like counts, where its ties allow it."""
+    aim, points = total / chunks, set()
+    wanted = values
+    for seed in range(_ROUNDS):
+        sample = wanted.sample(min(1.0, _SAMPLED * chunks / total), seed=17 + seed)
+        drawn = sample.groupBy("_value").agg(F.count(F.lit(1)).alias("n")).orderBy("_value").collect()
+        seen, every = 0, max(1.0, sum(r["n"] for r in drawn) / chunks) if seed == 0 else _SAMPLED
+        for r in drawn:
+            before, seen = seen, seen + r["n"]
+            if int(before / every) != int(seen / every) and math.isfinite(r["_value"]):
+                points.add(r["_value"])
+        chosen = sorted(points)
+        chosen = chosen[:: -(-len(chosen) // max(1, max_chunks - 1))] if chosen else []
+        if not chosen:
+            return []
+        counts = {int(r["_bucket"]): r["count"] for r in _cut(values, chosen).groupBy("_bucket").count().collect()}
+        large = [b for b, n in counts.items() if n > 2 * aim]
+        if not large or 2 * len(chosen) > max_chunks:
+            break
+        # Only what lies in the intervals that came out too large is sampled again.
+        wanted = _cut(values, chosen).where(F.col("_bucket").isin([float(b) for b in large])).select("_value")
+    return chosen
+
+
+def _text_place(basis: DataFrame, value: Column, share: float) -> Column:
+    """A number that never falls as the text rises: its next six bytes after what nearly all texts begin with.
+
+    Texts outside the range of a sample's middle stand before or after all others.
+    """
+    texts = basis.select(value.cast("binary").alias("t")).where("t is not null")
+    drawn = [bytes(r["t"]) for r in texts.sample(share, seed=13).select(F.substring("t", 1, 64).alias("t")).orderBy("t").collect()]
+    if not drawn:
+        drawn = [bytes(r["t"])[:64] for r in texts.limit(1).collect()] or [b""]
+    edge = len(drawn) // 200
+    low, high = drawn[edge], drawn[len(drawn) - 1 - edge]
     shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    prefix = F.lit(bytearray(low[:shared]))
+    head = F.substring(value.cast("binary"), 1, shared)
     part = F.hex(F.substring(value.cast("binary"), shared + 1, 6))
-    return F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
+    place = F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
+    below, above = F.lit(-1.0), F.lit(2.0**49)
+    return F.when(value.isNull(), F.lit(None).cast("double")).when(head < prefix, below).when(head > prefix, above).otherwise(place)
 
 
 def scan(

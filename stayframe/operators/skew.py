@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, FractionalType, IntegralType, NumericType, StringType
 
-# A group below this many rows is never worth splitting.
+# A group of this many rows is split, in a table of any size up to the bound below.
 HOT_ROWS = 1_000_000
-# A group below this share of the rows is not hot; at most 1 / HOT_SHARE groups can be.
-HOT_SHARE = 0.001
-PROBE_ROWS = 1_000_000
+# Keys that a sketch tracks, and the most that are called hot. A key with more than rows / (0.75 * TRACKED_KEYS)
+# rows is surely among them, so in a table of over 12 billion rows that share takes the place of HOT_ROWS.
+TRACKED_KEYS = 16_384
+MOST_HOT = 4_096
+# Shares of the tasks whose sketches are merged.
+_MERGES = 64
 # A broadcast table must also be smaller than this, as measured.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -21,18 +24,17 @@ def key_hash(cols: Sequence[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, cols: Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold a large share of the rows, about 1,000 at most.
+    """Hashes of the keys of at least ``min_rows`` rows, ``MOST_HOT`` at most.
 
-    A random probe of one narrow column finds them. The answer only decides which rows
-    take the split path; both paths give the same result, so a miss costs time, not rows.
+    One pass over the key columns: every task keeps a sketch of its most frequent keys, of bounded size, the
+    sketches of a share of the tasks are merged, and what the shares find frequent is added up. The answer only
+    decides which rows take the split path; both paths give the same result, so an estimate that is off costs
+    time, not rows.
     """
-    total = df.count()
-    if total < min_rows:
-        return []
-    fraction = min(1.0, PROBE_ROWS / total)
-    seen = df.select(key_hash(cols).alias("h")).sample(fraction, seed=11).groupBy("h").count()
-    floor = max(HOT_SHARE * total, min_rows) * fraction
-    return [row["h"] for row in seen.where(F.col("count") >= floor).collect()]
+    keyed = df.select(key_hash(cols).alias("h"), F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("part"))
+    top = keyed.groupBy("part").agg(F.expr(f"approx_top_k(h, {MOST_HOT}, {TRACKED_KEYS})").alias("top"))
+    added = top.select(F.inline("top")).groupBy("item").agg(F.sum("count").alias("n")).where(F.col("n") >= min_rows)
+    return [r["item"] for r in added.orderBy(F.desc("n"), "item").limit(MOST_HOT).collect()]
 
 
 def is_hot(cols: Sequence[str], hot: Sequence[int]) -> Column:
@@ -53,16 +55,17 @@ def lookup(
     """Join rows to a table that has one row per key (any number for a semi join).
 
     A table of at most ``broadcast_rows`` rows and 64 MB (measured, not assumed) is broadcast.
-    Otherwise rows of hot keys meet a broadcast of only those keys, at most about 1,000
-    rows since keys are unique, and all others take the ordinary shuffle join.
+    Otherwise rows of hot keys meet a broadcast of only those keys, ``MOST_HOT`` rows since keys are unique
+    (measured too: if they are not, the join shuffles), and all others take the ordinary shuffle join.
     ``probe`` names a cheaper frame with the same key columns to look for hot keys in.
-    Keys of different types meet in the wider one, numbers and text as text, so nothing is cut or cast in vain.
+    Keys of different types are compared as Spark's own join compares them; a text that is no value of the other type
+    is like null instead of an error.
     """
     on = list(on)
     apart = [c for c in on if one.schema[c].dataType != many.schema[c].dataType]
     if apart:
-        wide = {c: _wider(many.schema[c].dataType, one.schema[c].dataType) for c in apart}
-        own = {f"_wide_{c}": F.col(c).cast(t) for c, t in wide.items()}
+        wide = {c: _compared(many.sparkSession, many.schema[c].dataType, one.schema[c].dataType) for c in apart}
+        own = {f"_wide_{c}": F.col(c).try_cast(t) for c, t in wide.items()}
         many, one = many.withColumns(own), one.withColumns(own).drop(*apart)
         probe = None if probe is None else probe.withColumns(own)
         keys = [f"_wide_{c}" if c in wide else c for c in on]
@@ -79,23 +82,29 @@ def lookup(
     few = one.where(busy)
     if how == "left_semi":
         few = few.select(*on).distinct()
+    if is_small(few, HOT_BROADCAST_ROWS):
+        few = F.broadcast(few)
     return _join(many.where(~busy), one.where(~busy), on, how, null_safe).unionByName(
-        _join(many.where(busy), F.broadcast(few), on, how, null_safe)
+        _join(many.where(busy), few, on, how, null_safe)
     )
 
 
-# Number types from narrow to wide.
-_NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+# Rows of hot keys that may be broadcast.
+HOT_BROADCAST_ROWS = 4 * MOST_HOT
 
 
-def _wider(a: DataType, b: DataType) -> str:
-    """A type that holds every key of both."""
-    names = [a.simpleString(), b.simpleString()]
-    if all(n in _NUMBERS for n in names):
-        wide = max(names, key=_NUMBERS.index)
-        # Whole numbers of 64 bits and fractions: neither holds the other, a decimal holds the keys of both.
-        return "decimal(38,9)" if wide in ("float", "double") and "bigint" in names else "double" if wide == "float" else wide
-    return "string"
+def _compared(spark: SparkSession, a: DataType, b: DataType) -> str:
+    """The type in which Spark compares values of two types for equality."""
+    if isinstance(a, StringType) != isinstance(b, StringType):
+        other = b if isinstance(a, StringType) else a
+        # A text meets a whole number as BIGINT, another number as DOUBLE, and a date or time as such.
+        return "bigint" if isinstance(other, IntegralType) else "double" if isinstance(other, NumericType) else other.simpleString()
+    if isinstance(a, NumericType) and isinstance(b, NumericType) and (isinstance(a, FractionalType) and not isinstance(a, DecimalType)) != (
+        isinstance(b, FractionalType) and not isinstance(b, DecimalType)
+    ):
+        return "double"
+    both = spark.range(0).select(F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)).alias("both"))
+    return both.schema["both"].dataType.simpleString()
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
@@ -115,7 +124,7 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 def fan_out(one: DataFrame, many: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of a table with one row per key to one with any number, even very many for a key.
 
-    The one row of a hot key is broadcast to the many, at most about 1,000 rows since keys are unique.
+    The one row of a hot key is broadcast to the many: ``MOST_HOT`` rows since keys are unique, and measured.
     """
     on = list(on)
     hot = hot_keys(many, on, min_rows)
@@ -123,7 +132,7 @@ def fan_out(one: DataFrame, many: DataFrame, on: Sequence[str], min_rows: int =
         return one.join(many, on, "left")
     busy = is_hot(on, hot)
     few, crowd = one.where(busy), many.where(busy)
-    met = crowd.join(F.broadcast(few), on).select(*on, *[c for c in one.columns + many.columns if c not in on])
+    met = crowd.join(F.broadcast(few) if is_small(few, HOT_BROADCAST_ROWS) else few, on).select(*on, *[c for c in one.columns + many.columns if c not in on])
     alone = few.join(crowd.select(*on).distinct(), on, "left_anti")
     usual = one.where(~busy).join(many.where(~busy), on, "left")
     return usual.unionByName(met).unionByName(alone, allowMissingColumns=True)
