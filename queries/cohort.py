@@ -54,6 +54,12 @@ def fill_slots(spark, d):
     return filled.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("p7_fill_slots_full", with_parts("windowed", "ranked") + FILLED.replace("range(1, 4)", "range(1, 101)"))
+def fill_slots_full(spark, d):
+    filled = sequence.fill_slots(sequence.slot_join(c.bill_window(fx.bill(spark, d)), 100))
+    return filled.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("p8_readmit_default", with_parts("pats") + " select pat_key, readmit_time from pats")
 def readmit_default(spark, d):
     stays = c.attach_readmit(c.cohort(fx.stays(spark, d)), c.days_to_next(fx.readmissions(spark, d)))

@@ -222,6 +222,22 @@ def flatten_seq(spark, d):
     )
 
 
+@query(
+    "f3_flatten_seq_full",
+    with_parts("ranked", "emb")
+    + LISTED.format(n=100)
+    + """select pat_key, cast(step as bigint) as step,
+  round(coalesce(list_sum(list_transform(v, lambda x, i: x::double * i)), 0), 6) as weighted from cells""",
+)
+def flatten_seq_full(spark, d):
+    """Each step's place in the flat sequence of all hundred, by a sum that weighs its values."""
+    flat = s.event_sequence(_window(spark, d), fx.vectors(spark, d), dim=fx.WIDTH)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.slice("embedding", i * fx.WIDTH + 1, F.lit(fx.WIDTH)))
+    each = flat.select("pat_key", F.posexplode(steps).alias("step", "v"))
+    sums = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return each.select("pat_key", F.col("step").cast("bigint").alias("step"), F.round(sums, 6).alias("weighted"))
+
+
 @query(
     "f5_last_n_reshape",
     """select vec_id, cast(i as bigint) as step, cast(j as bigint) as dim,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window, functions as F
 
 from queries.cohort import total_of
@@ -254,19 +255,35 @@ offsets as (select place, name, count(*) as width, sum(count(*)) over (order by
 places as (select i.name, i.value, o.start + i.idx as pos from indexed i join offsets o on i.name = o.name),
 long as (unpivot (select pat_key, {", ".join(f"cast({c} as varchar) as {c}" for c in ft.CATEGORIES)} from pats)
   on {", ".join(ft.CATEGORIES)} into name name value value)
-select l.pat_key, cast(sum(p.pos) as bigint) as positions, count(*) as ones
-from long l join places p on l.name = p.name and l.value = p.value group by l.pat_key"""
+select l.pat_key, cast(sum(p.pos) as bigint) as positions, count(*) as ones, cast(any_value(a.age) % 256 as smallint) as age
+from long l join places p on l.name = p.name and l.value = p.value join pats a on a.pat_key = l.pat_key group by l.pat_key"""
 
 
 def _hot(df):
-    """Sum of the positions of the ones among the category slots, and their number."""
-    slots = df.select("pat_key", F.posexplode(F.slice("features", F.lit(1), F.size("features") - 1)).alias("pos", "x"))
-    return slots.groupBy("pat_key").agg(
+    """Sum of the positions of the ones among the category slots, their number, and the age in the last slot."""
+    slots = df.select(
+        "pat_key", F.element_at("features", -1).alias("age"), F.posexplode(F.slice("features", F.lit(1), F.size("features") - 1)).alias("pos", "x")
+    )
+    return slots.groupBy("pat_key", "age").agg(
         F.sum(F.when(F.col("x") == 1, F.col("pos")).otherwise(0)).alias("positions"),
         F.count_if(F.col("x") == 1).alias("ones"),
     )
 
 
+@query(
+    "f4_dense_u8_wrap",
+    with_parts("adm")
+    + """ select pat_key, cast(i as integer) as place, cast((trunc(x)::bigint % 256 + 256) % 256 as smallint) as value
+from (select pat_key, unnest([proj_wgt::double, pat_cost::double, -pat_cost / 7, los / 2.0::double, 0]) as x, unnest(range(5)) as i
+  from adm where los is not null)""",
+)
+def dense_u8_wrap(spark, d):
+    """Balances below zero and costs above 255: cut to whole numbers and wrapped."""
+    x = [F.col(c).cast("double") for c in ("proj_wgt", "pat_cost")] + [-F.col("pat_cost") / 7, F.col("los") / 2.0, F.lit(0.0)]
+    stays = fx.stays(spark, d).where("los is not null").select("pat_key", array_to_vector(F.array(*x)).alias("v"))
+    return stays.select("pat_key", F.posexplode(dense_u8("v")).alias("place", "value"))
+
+
 @query("m1_features", with_parts("pats") + HOT)
 @query("f4_dense_u8", with_parts("pats") + HOT)
 def features(spark, d):
@@ -313,6 +330,21 @@ def feature_tier_first_day(spark, d):
     return ft.feature_tier(stays, "first_day").withColumn("total", total).drop("embedding")
 
 
+@query(
+    "m2_feature_tier_first_day_full",
+    with_parts("adm", "ranked", "emb")
+    + LISTED.format(n=100)
+    + f"""select a.pat_key, {', '.join('a.' + x for x in ft.DEMOGRAPHICS + ft.ADMISSION)}, t.total
+from adm a join (select pat_key, round(coalesce(sum(list_sum(list_transform(v, lambda x: x::double))), 0), 4) as total
+  from cells group by pat_key) t on a.pat_key = t.pat_key where a.los > 1""",
+)
+def feature_tier_first_day_full(spark, d):
+    sequences = s.event_sequence(c.bill_window(fx.bill(spark, d)), fx.vectors(spark, d), n=100, dim=fx.WIDTH)
+    stays = s.attach_features(sequences, c.cohort(fx.stays(spark, d))).where(F.col("los").isNotNull())
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double")), 4)
+    return ft.feature_tier(stays, "first_day").withColumn("total", total).drop("embedding")
+
+
 @query(
     "x3_mix",
     with_parts("adm")
@@ -335,34 +367,63 @@ def with_batch_id(spark, d):
     return folds.with_batch_id(stays, 128)
 
 
+# The position-weighted sum of a stay's features: one-hot places as the training folds know them, then the age.
+FEATURES = " union all ".join(
+    f"select {i} as place, '{c}' as name, cast({c} as varchar) as value, count(*) as n"
+    f" from labelled where {c} is not null and fold < 8 group by 3"
+    for i, c in enumerate(ft.CATEGORIES)
+)
+FEATURES = f""", feat_counted as ({FEATURES}),
+feat_indexed as (select *, row_number() over (partition by name order by n desc, value) - 1 as idx from feat_counted),
+feat_offsets as (select place, name, count(*) as width, sum(count(*)) over (order by place) - count(*) as start
+  from feat_indexed group by place, name),
+feat_places as (select i.name, i.value, o.start + i.idx as pos from feat_indexed i join feat_offsets o on i.name = o.name),
+feat_long as (unpivot (select pat_key, {", ".join(f"cast({c} as varchar) as {c}" for c in ft.CATEGORIES)} from labelled)
+  on {", ".join(ft.CATEGORIES)} into name name value value),
+feat as (select l.pat_key, cast(coalesce(sum(p.pos + 1), 0) + (select sum(width) + 1 from feat_offsets) * (any_value(a.age) % 256) as bigint) as features
+  from feat_long l left join feat_places p on l.name = p.name and l.value = p.value join labelled a on a.pat_key = l.pat_key group by l.pat_key)
+"""
+WEIGHED = """, seq as (select pat_key, count(*) as steps,
+    round(coalesce(sum(list_sum(list_transform(v, lambda x, i: x::double * (64 * step + i)))), 0), 4) as weighted
+  from cells group by pat_key)"""
+
+
+def _weighed(features):
+    """The position-weighted sum of the features."""
+    return F.aggregate(F.transform(features, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda t, x: t + x)
+
+
 @query(
     "k2_export_stays",
     with_parts("labelled", "ranked", "emb")
     + LISTED.format(n=100)
-    + """, seq as (select pat_key, count(*) as steps,
-    round(coalesce(sum(case when step = 99 then list_sum(list_transform(v, lambda x: x::double)) end), 0), 6) as newest,
-    round(coalesce(sum(case when step = 98 then list_sum(list_transform(v, lambda x: x::double)) end), 0), 6) as second
-  from cells group by pat_key)
-select l.pat_key, l.fold, s.steps, cast(64 as bigint) as width, s.newest, s.second,
+    + WEIGHED
+    + FEATURES
+    + """
+select l.pat_key, l.fold, case when l.fold < 8 then 'train' when l.fold = 8 then 'validation' else 'test' end as role,
+  s.steps, cast(64 as bigint) as width, s.weighted, f.features,
   cast(l.los_label = 0 as integer) as los0, cast(l.los_label = 1 as integer) as los1
-from labelled l join seq s on l.pat_key = s.pat_key where l.fold < 8""",
+from labelled l join seq s on l.pat_key = s.pat_key join feat f on l.pat_key = f.pat_key""",
 )
 def export_stays(spark, d):
-    """The stay table written by fold with its tensor schema, checked, read back for training and reshaped."""
+    """The stay table written by fold with its tensor schema, checked, and all ten folds read back by role and reshaped."""
     table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d), dim=fx.WIDTH)
     path = scratch_path(spark, "export")
     features = table.select(F.size("features")).first()[0]
     w.write_folds(table, path, spec=w.stay_spec(100, fx.WIDTH, features))
-    rows = r.read_folds(spark, path, folds.TRAIN_FOLDS).select(
-        "pat_key", "fold", last_n_reshape("embedding", 100, fx.WIDTH).alias("m"), one_hot("los_label").alias("los")
+    parts = [r.read_folds(spark, path, x) for x in (folds.TRAIN_FOLDS, folds.VALIDATION_FOLDS, folds.TEST_FOLDS)]
+    rows = folds.with_role(parts[0].unionByName(parts[1]).unionByName(parts[2])).select(
+        "pat_key", "fold", "role", "features", last_n_reshape("embedding", 100, fx.WIDTH).alias("m"), one_hot("los_label").alias("los")
     )
+    of_step = F.transform("m", lambda v, k: F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (k * fx.WIDTH + i + 1)), F.lit(0.0), lambda t, x: t + x))
     return rows.select(
         "pat_key",
         "fold",
+        "role",
         F.size("m").cast("bigint").alias("steps"),
         F.size(F.col("m")[0]).cast("bigint").alias("width"),
-        total_of(F.col("m")[99]).alias("newest"),
-        total_of(F.col("m")[98]).alias("second"),
+        F.round(F.aggregate(of_step, F.lit(0.0), lambda t, x: t + x), 4).alias("weighted"),
+        _weighed(F.col("features")).alias("features"),
         F.col("los")[0].alias("los0"),
         F.col("los")[1].alias("los1"),
     )
@@ -372,16 +433,16 @@ def export_stays(spark, d):
     "c2_build_stays",
     with_parts("labelled", "ranked", "emb")
     + LISTED.format(n=100)
-    + """, seq as (select pat_key,
-    round(coalesce(sum(list_sum(list_transform(v, lambda x, i: x::double * (64 * step + i)))), 0), 4) as weighted
-  from cells group by pat_key)
-select l.pat_key, cast(6400 as bigint) as len, s.weighted, l.mortality_label, l.los_label, l.readmit_label,
+    + WEIGHED
+    + FEATURES
+    + """
+select l.pat_key, cast(6400 as bigint) as len, s.weighted, f.features, l.mortality_label, l.los_label, l.readmit_label,
   round(l.cost_label, 6) as cost_label, l.fold
-from labelled l join seq s on l.pat_key = s.pat_key""",
+from labelled l join seq s on l.pat_key = s.pat_key join feat f on l.pat_key = f.pat_key""",
 )
 def stay_table(spark, d):
     table = build_stays(fx.stays(spark, d), fx.bill(spark, d), fx.readmissions(spark, d), fx.vectors(spark, d), dim=fx.WIDTH)
-    kept = ["pat_key", "mortality_label", "los_label", "readmit_label", "cost_label", "fold"]
+    kept = ["pat_key", "features", "mortality_label", "los_label", "readmit_label", "cost_label", "fold"]
     return weighted(table, fx.WIDTH, kept).withColumns(
-        {"cost_label": F.round("cost_label", 6), "weighted": F.coalesce("weighted", F.lit(0.0))}
+        {"cost_label": F.round("cost_label", 6), "weighted": F.coalesce("weighted", F.lit(0.0)), "features": _weighed(F.col("features"))}
     ).drop("first_at")

@@ -18,7 +18,7 @@ from stayframe.operators.cohort import (
     with_labels,
 )
 from stayframe.operators.features import apply_features, fit_features
-from stayframe.operators.folds import assign_fold
+from stayframe.operators.folds import TRAIN_FOLDS, assign_fold
 from stayframe.operators.sequence import event_sequence
 
 OUTPUT = ["pat_key", "embedding", "features", "mortality_label", "los_label", "cost_label", "readmit_label", "fold"]
@@ -47,11 +47,11 @@ def build_stays(
 
     A stay's charges are cut to n events before anything is joined to them, so the join with the
     cohort works on one row per stay. Stays without a charge in the window drop out, or come with
-    an empty sequence when ``keep_empty`` is set.
+    an empty sequence when ``keep_empty`` is set. Without a ``model`` one is fitted on the training folds.
     """
     stays = labelled_stays(adm, readmit, min_los, limit)
     if model is None:
-        model = fit_features(cohort(adm, min_los))
+        model = fit_features(stays.where(F.col("fold").isin(TRAIN_FOLDS)))
     featured = apply_features(model, stays).withColumn("features", dense_u8("features"))
     sequences = event_sequence(bill_window(bill, days), emb, n, dim)
     joined = featured.join(sequences, "pat_key", "left" if keep_empty else "inner")
