@@ -21,7 +21,7 @@ from stayframe.llm.polynomials import ragged, runs, unlike
 from stayframe.llm.shingles import mix
 
 # Bytes a worker spends on pieces it remembers; beyond that, those not met lately go.
-REMEMBERED = 40_000_000
+REMEMBERED = 36_000_000
 # Marks a piece that no space stands before.
 _BARE = "\0"
 # Each begins with what is searched for, so that the search is fast.
@@ -129,12 +129,12 @@ class WordEncoder:
         return pieces, doubtful
 
     def _forget(self) -> None:
-        """Beyond the limit, keep what was met since the last time, if that is half the limit or less."""
+        """Beyond the limit, keep what was met since the last time, or every other piece of it if that is nearly all."""
         if self._bytes.values.nbytes + self._ids.values.nbytes + 50 * len(self._met) <= self._limit:
             return
         stay = np.flatnonzero(self._met)
-        if len(stay) > len(self._met) // 2:
-            stay = stay[:0]
+        if len(stay) > 3 * len(self._met) // 4:
+            stay = stay[::2]
         place = np.full(len(self._met), -1)
         place[stay] = np.arange(len(stay))
         left = place[self._piece] >= 0
@@ -167,9 +167,10 @@ class WordEncoder:
 
         ``skip`` ids of each are left out.
         """
-        groups = [pieces[a : a + _AT_ONCE] for a in range(0, len(pieces), _AT_ONCE)]
         ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for some, encoding in zip(groups, self._tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for a in range(0, len(pieces), _AT_ONCE):
+            some = pieces[a : a + _AT_ONCE]
+            encoding = self._tokenizer.encode("".join(some), add_special_tokens=False)
             ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
             # A token of white space alone is reported as an empty span at its end.
             at = np.array(encoding.offsets, np.int64).reshape(-1, 2)
@@ -191,7 +192,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_column(path: str, column: pa.Array, most_chars: int = 1_500_000) -> Iterator[tuple[int, bytes]]:
+def encode_column(path: str, column: pa.Array, most_chars: int = 750_000) -> Iterator[tuple[int, bytes]]:
     """(row, ids) of each text of a column without nulls, in parts so that memory follows ``most_chars``."""
     texts, held, begin = [], 0, 0
     for i, text in enumerate(column):
