@@ -97,12 +97,14 @@ def _models(made, hidden=()):
     return models, descent.membership(rules)
 
 
-def _stepped(spark, d, steps):
+def _stepped(spark, d, steps, led=True):
+    """Inputs, and models after whole-table steps; without the validation fold the last weights are the ones kept."""
     stays = _stays(spark, d)
     made = _encoder(stays)
     inputs = _inputs(stays, made)
     models, members = _models(made)
-    ready = descent.prepared(inputs.withColumn("models", members))
+    seen = inputs if led else inputs.where(F.col("fold").isin(folds.TRAIN_FOLDS))
+    ready = descent.prepared(seen.withColumn("models", members))
     return inputs, descent.fit(ready, models, epochs=steps, rate=RATE, adam=False)
 
 
@@ -149,7 +151,7 @@ from w2 join models using (m) where abs(w) > 1e-7""",
 def gradient_weights(spark, d):
     """Every weight after two steps, as the saved table holds them."""
     path = scratch_path(spark, "models")
-    _stepped(spark, d, 2)[1].write(spark, path)
+    _stepped(spark, d, 2, led=False)[1].write(spark, path)
     table = descent.Fitted.read(spark, path).table(spark)
     return table.where(F.abs("weight") > 1e-7).select("model", "place", F.round("weight", 8).alias("weight"))
 
@@ -171,7 +173,7 @@ from cum group by model, judged_on""",
 )
 def models_by_tier_and_group(spark, d):
     """Six models trained in one job, each judged on everyone and on the group, side by side."""
-    inputs, fitted = _stepped(spark, d, 3)
+    inputs, fitted = _stepped(spark, d, 3, led=False)
     test = inputs.where(F.col("fold").isin(folds.TEST_FOLDS))
     scored = descent.score(fitted, test, "label", "in_group").withColumn("score", F.round("score", 9))
     whom = F.explode(F.when(F.col("in_group"), F.array(F.lit("everyone"), F.lit("group"))).otherwise(F.array(F.lit("everyone"))))
