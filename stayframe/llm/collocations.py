@@ -209,16 +209,51 @@ def _grown(valid: np.ndarray) -> np.ndarray:
     return valid[:-1] & valid[1:]
 
 
-def _counted(rows: DataFrame, size: int, shorter: Passed | None) -> DataFrame:
-    """``print, f`` of the runs of ``size`` words whose shorter parts may be frequent, counted task by task."""
+def pack_run(prints: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising fingerprints with counts in few bytes: differences in as many bytes as the largest needs, counts in one.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A count of 255 or more stands at the end in full.
+    """
+    steps = np.diff(prints, prepend=np.uint64(0))
+    steps[:1] = 0  # the first one is in the head
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    great = np.flatnonzero(counts >= 255)
+    head = np.array([len(prints), width, len(great), prints[0]], "<u8")
+    low = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return b"".join([head.tobytes(), low.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[great].astype("<u8").tobytes()])
+
+
+def unpack_run(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width, great, first = (int(x) for x in np.frombuffer(raw, "<u8", 4))
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, n * width, 32).reshape(n, width)
+    prints = np.cumsum(steps.view("<u8")[:, 0]) + np.uint64(first)
+    counts = np.frombuffer(raw, np.uint8, n, 32 + n * width).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", great, 32 + n * width + n)
+    return prints, counts
+
+
+def _counted(rows: DataFrame, size: int, shorter: Passed | None, least: int) -> DataFrame:
+    """``print`` of the runs of ``size`` words that occur ``least`` times or more, by fingerprint alone.
+
+    Only runs are counted whose shorter parts may be frequent. A task counts its own fingerprints, sorts them and
+    sends each range of them on as one packed row, in about half the bytes that rows of their own would take;
+    the task of a range adds the counts up. Fingerprints are spread evenly, so ranges are alike, and a fingerprint
+    of very many occurrences is one entry of a row.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         many = 0
 
         def flush() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["print", "f"])
+            number = (found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            there, begins = np.unique(number, return_index=True)
+            ends = np.append(begins[1:], len(found))
+            packed = [pack_run(found[a:b], counts[a:b]) for a, b in zip(begins, ends)]
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(packed, pa.binary())], ["range", "run"])
 
         for batch in batches:
             own = seeds(batch.column(0).to_pylist())
@@ -228,17 +263,36 @@ def _counted(rows: DataFrame, size: int, shorter: Passed | None) -> DataFrame:
                 if shorter is not None:
                     valid &= _grown(shorter.holds(fingerprints(symbols, size - 1, own[i])))[: len(valid)]
                 valid[: max(0, seen - size + 1)] = False
-                prints = fingerprints(symbols, size, own[i])[valid]
-                held.append(prints)
-                many += len(prints)
+                held.append(fingerprints(symbols, size, own[i])[valid])
+                many += len(held[-1])
                 if many >= _COUNTED:
                     yield flush()
                     held, many = [], 0
         if many:
             yield flush()
 
-    each = rows.select("lang", "seen", "symbols").mapInArrow(work, "print bigint, f bigint")
-    return each.groupBy("print").agg(F.sum("f").alias("f"))
+    def frequent(parts: list[bytes]) -> pa.RecordBatch:
+        prints, counts = (np.concatenate(x) for x in zip(*map(unpack_run, parts)))
+        order = np.argsort(prints, kind="stable")
+        prints, counts = prints[order], counts[order]
+        begins = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+        found = prints[begins[np.add.reduceat(counts, begins) >= least]]
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["print"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts = None, []
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != here and parts:
+                    yield frequent(parts)
+                    parts = []
+                here = number
+                parts.append(raw.as_py())
+        if parts:
+            yield frequent(parts)
+
+    each = rows.select("lang", "seen", "symbols").mapInArrow(count, "range int, run binary")
+    return each.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(add, "print bigint")
 
 
 def _word_ids(data: np.ndarray, words: Words) -> np.ndarray:
@@ -321,7 +375,7 @@ def frequent_phrases(docs: DataFrame, rows: DataFrame, *, least: int, most_words
     """
     passed: list[Passed] = []
     for size in range(1, most_words + 1):
-        counted = _counted(rows, size, passed[-1] if passed else None).where(F.col("f") >= least).select("print")
+        counted = _counted(rows, size, passed[-1] if passed else None, least)
         passed.append(Passed.of(_written(counted, f"prints-{size}"), "print", most_bits))
     merged = _materialised(docs, passed).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id"))
     return _written(merged.where(F.col("f") >= least), "phrases")

@@ -149,3 +149,12 @@ def test_equal_fingerprints_of_unlike_words_are_told_apart():
     assert sorted(zip(ids[at].tolist(), counts.tolist())) == sorted(Counter(ids.tolist()).items())
     at, counts = collocations._distinct(np.array([1, 2, 1, 2, 3, 1, 2]), np.array([5, 5, 5, 6], np.uint64), np.array([0, 2, 4, 5]), 2)
     assert sorted(zip(at.tolist(), counts.tolist())) == [(0, 2), (4, 1), (5, 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 1000)), st.one_of(st.integers(1, 300), st.integers(1, 2**40)), min_size=1, max_size=50))
+def test_packed_runs_come_back(counts):
+    prints = np.array(sorted(counts), np.uint64)
+    many = np.array([counts[int(x)] for x in prints], np.int64)
+    back = collocations.unpack_run(collocations.pack_run(prints, many))
+    assert (back[0] == prints).all() and (back[1] == many).all()
