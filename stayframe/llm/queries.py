@@ -145,6 +145,32 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words),
+each as materialized (select doc_id, len(s) as n, hash(x) as h from sets, unnest(s) t(x)),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from each a join each b
+    on a.h = b.h and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id, doc_id as r from sets
+  union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select doc_id, len(s) as n_shingles, min(r) as component_id, min(r) = doc_id as kept
+from reach join sets using (doc_id) group by doc_id, len(s)"""
+)
+def fingerprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join of the fingerprints over all documents, with Jaccard verified on whole sets."""
+    return fingerprints.linked(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
 with split as materialized (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
