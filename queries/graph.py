@@ -241,8 +241,8 @@ def epoch_losses(spark, d):
 
 @query("g3_train_embedding")
 def train_embedding(spark, d):
-    """The vectors of a run with all settings as they are."""
-    return p.train_embedding(_edge_table(spark, d))
+    """The vectors of ten epochs, two of them slow ones; all other settings as they are."""
+    return p.train_embedding(_edge_table(spark, d), epochs=10, burnin=2)
 
 
 @query(
