@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stayframe.functions import arrays
+from stayframe.functions import arrays, sums
 from stayframe.operators import sequence as s
 from stayframe.plans import fixtures as fx
 from stayframe.plans.stay_table import build_stays
@@ -86,3 +86,38 @@ def test_stay_table_drops_or_keeps_stays_without_charges(spark):
     empty = everyone.join(usual, "pat_key", "left_anti").first()
     assert empty.embedding == [0.0] * 40
     assert {len(r.features) for r in everyone.select("features").collect()} == {len(usual.first().features)}
+
+
+def test_long_lists_are_made_by_many_tasks(spark):
+    """A few kilobytes of events became hundreds of megabytes of lists in a single task."""
+    bill = spark.range(4000).select(F.col("id").alias("pat_key"), (F.col("id") % 7).alias("std_chg_code"), F.lit(0).alias("serv_day"), F.lit(1.0).alias("std_qty"))
+    emb = spark.range(7).select(F.col("id").alias("code"), F.array(F.lit(0.5), F.col("id").cast("double")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        flat = s.event_sequence(bill, emb, n=100, dim=2)
+        tasks = flat.select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert tasks >= 4
+
+
+def test_sums_of_arrays_are_those_of_lambdas(spark):
+    lists = [[0.1, -3.0, 1e9, 0.7], [], None, [0.0, 0.0, 2.5], [0.0], [1.5, None, 2.0], [float("nan"), 1.0], [None, 0.0, 4.0]] * 3
+    df = spark.createDataFrame([(i, x, [x, [0.3, 0.1, 0.2]] if i % 5 else None) for i, x in enumerate(lists)], "k int, a array<float>, m array<array<float>>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x.cast("double"))
+    placed = lambda a: total(F.transform(a, lambda x, i: x.cast("double") * (i + 1)))
+    first = F.array_min(F.transform("a", lambda x, i: F.when(x != 0, i.cast("bigint"))))
+    run = F.transform(F.sequence(F.lit(0), F.ceil(F.size("a") / 2).cast("int") - 1), lambda i: F.slice("a", i * 2 + 1, F.lit(2)))
+    runs = F.when(F.size("a") > 0, F.transform(run, placed)).when(F.size("a") == 0, F.array().cast("array<double>"))
+    grid = total(F.transform("m", lambda v, k: total(F.transform(v, lambda x, i: x.cast("double") * (k * F.size(v) + i + 1)))))
+    pairs = {
+        "sum": (sums.array_sum("a"), total(F.col("a"))),
+        "placed": (sums.placed_sum("a"), placed(F.col("a"))),
+        "each": (sums.each_sum("m"), F.transform("m", total)),
+        "runs": (sums.runs_placed_sum("a", 2), runs),
+        "grid": (sums.grid_sum("m"), grid),
+        "first": (sums.first_filled("a"), first),
+    }
+    for name, (found, wanted) in pairs.items():
+        got = df.select("k", found.cast("string").alias("x"), wanted.cast("string").alias("y")).collect()
+        assert all(r.x == r.y for r in got), (name, [tuple(r) for r in got if r.x != r.y])
