@@ -48,8 +48,9 @@ select id1, id2, cast(sum(weight) as bigint) as weight from parts group by id1,
 @query("j7_merge_edges", with_parts("adm", "bill") + HALVES)
 def merge_edges(spark, d):
     lines = fx.quarterly_bill(spark, d)
-    late = F.col("yq") % 10 > 2
-    return g.merge_edges(g.code_pairs(lines.where(~late), ["pat_key"]), g.code_pairs(lines.where(late), ["pat_key"]))
+    bill, late = fx.bill(spark, d), F.col("yq") % 10 > 2
+    halves = [g.code_pairs(lines.where(half), ["pat_key"], probe=bill) for half in (~late, late)]
+    return g.merge_edges(*halves, partitions=g.pair_tasks(bill))
 
 
 @query(
@@ -57,7 +58,7 @@ def merge_edges(spark, d):
     with_parts("quarterly") + " select id1, id2, cast(sum(weight) as bigint) as weight from quarterly group by id1, id2",
 )
 def quarterly_pairs(spark, d):
-    return g.code_pairs(fx.quarterly_bill(spark, d), on=["yq", "pat_key", "serv_day"])
+    return g.code_pairs(fx.quarterly_bill(spark, d), on=["yq", "pat_key", "serv_day"], probe=fx.bill(spark, d))
 
 
 @query(

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stayframe.operators.skew import HOT_ROWS, hot_keys, is_hot
+
 # Groups with more distinct codes than this are paired in slices.
 SLICE_CODES = 2_000
+# Charge lines for each partition of lines and of their pairs.
+LINES_PER_TASK = 250_000
 
 
 def code_pairs(
@@ -16,31 +21,60 @@ def code_pairs(
     on: Sequence[str] = ("pat_key", "serv_day"),
     code: str = "std_chg_code",
     slice_codes: int = SLICE_CODES,
+    probe: DataFrame | None = None,
+    lines_per_task: int = LINES_PER_TASK,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """How often two codes id1 < id2 share a group: edges (id1, id2, weight).
 
     Each pair of lines counts, so repeated lines of a code multiply. Lines are first reduced to
-    one row per (group, code) with a count; a pair's weight is the sum of the products. Copies of
-    a line therefore cost nothing, and a group holds at most one row per code of the vocabulary.
-    The join's output is summed in the joining task, so single pairs are not shuffled.
+    one row per (group, code) with a count; a pair's weight is the sum of the products. A line with
+    very many copies is counted before it is shuffled, and a group holds at most one row per code of the vocabulary.
+    Pairs are summed in the task that makes them, so single pairs are not shuffled.
+
+    Lines and pairs are dealt to partitions by the number of lines, so no task grows with the table. ``probe`` names a
+    cheaper frame of the same lines, to count them and look for copies in; it may lack columns of ``on``.
 
     Groups above ``slice_codes`` codes are cut: each slice of the left side meets the whole group
     in a task of its own.
     """
     on = list(on)
+    probe = bill if probe is None else probe
+    tasks = pair_tasks(probe, lines_per_task)
     present = bill.where(F.col(code).isNotNull())
     for c in on:
         present = present.where(F.col(c).isNotNull())
-    lines = present.groupBy(*on, F.col(code).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    sized = lines.withColumn("_codes", F.count(F.lit(1)).over(Window.partitionBy(*on)))
-    usual = sized.where(F.col("_codes") <= slice_codes)
+    copied = [*(c for c in on if c in probe.columns), code]
+    hot = hot_keys(probe, copied, min_rows)
+    counted = [*on, F.col(code).alias("id")]
+    lines = (present.where(~is_hot(copied, hot)) if hot else present).select(*counted, F.lit(1).cast("bigint").alias("n"))
+    if hot:
+        lines = lines.unionByName(present.where(is_hot(copied, hot)).groupBy(*counted).agg(F.count(F.lit(1)).alias("n")))
+    # Groups of one part lie in one task, where lines are counted, paired and summed without another shuffle.
+    dealt = lines.withColumn("_part", F.pmod(F.xxhash64(*on), F.lit(4 * tasks))).repartition(tasks, "_part")
+    each = dealt.groupBy("_part", *on, "id").agg(F.sum("n").alias("n"))
+    sized = each.withColumn("_codes", F.count(F.lit(1)).over(Window.partitionBy("_part", *on)))
+    listed = sized.where(F.col("_codes").between(2, slice_codes)).groupBy("_part", *on)
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("codes"))
+    first = listed.select("_part", "codes", F.posexplode("codes").alias("at", "first"))
+    pairs = first.select("_part", "first", F.explode(F.slice("codes", F.col("at") + 2, F.size("codes"))).alias("second"))
+    products = pairs.select(
+        "_part", F.col("first.id").alias("id1"), F.col("second.id").alias("id2"), (F.col("first.n") * F.col("second.n")).alias("product")
+    )
+    weight = F.sum("product").alias("weight")
     wide = sized.where(F.col("_codes") > slice_codes).withColumn(
         "_slices", F.ceil(F.col("_codes") / slice_codes).cast("int")
     )
     left = wide.withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
     right = wide.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    products = _products(usual, usual, on).unionByName(_products(left, right, [*on, "_slice"]))
-    return products.groupBy("id1", "id2").agg(F.sum("product").alias("weight"))
+    near = products.groupBy("_part", "id1", "id2").agg(weight).drop("_part")
+    far = _products(left, right, [*on, "_slice"]).groupBy("id1", "id2").agg(weight)
+    return merge_edges(near, far, partitions=tasks)
+
+
+def pair_tasks(lines: DataFrame, lines_per_task: int = LINES_PER_TASK) -> int:
+    """Partitions for the lines and their pairs."""
+    return max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / lines_per_task))
 
 
 def _products(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +84,11 @@ def _products(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select("id1", "id2", (F.col("n1") * F.col("n2")).alias("product"))
 
 
-def merge_edges(*edges: DataFrame) -> DataFrame:
-    """Add edge lists; an edge missing from a list counts 0 there."""
+def merge_edges(*edges: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Add edge lists; an edge missing from a list counts 0 there. Long lists can be dealt to a number of ``partitions``."""
     together = reduce(DataFrame.unionByName, edges)
+    if partitions:
+        together = together.repartition(partitions, "id1", "id2")
     return together.groupBy("id1", "id2").agg(F.sum("weight").alias("weight"))
 
 

@@ -37,6 +37,23 @@ def test_wide_groups_in_slices_give_the_same_edges(spark):
     assert rows(g.code_pairs(df, slice_codes=1)) == want
 
 
+def test_pairs_are_dealt_by_the_number_of_lines(spark):
+    """Lines and pairs lay in as many partitions as the session names, however many they were; copies are counted first."""
+    lines = [(i % 97, i % 3, i * 7 % 31) for i in range(900)] + [(1, 1, 4)] * 300
+    df = spark.createDataFrame(lines, BILL)
+    few = g.code_pairs(df)
+    many = g.code_pairs(df, lines_per_task=100, min_rows=50, slice_codes=7, probe=df.select("pat_key", "std_chg_code"))
+    assert rows(few) == rows(many) == brute(lines)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = [g.code_pairs(df, lines_per_task=n).rdd.getNumPartitions() for n in (10_000, 100)]
+        plan = g.code_pairs(df, lines_per_task=100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert counts == [4, 12]
+    assert "(_part" in plan and "hashpartitioning(id1#" in plan.replace("L,", ",") and ", 12), REPARTITION_BY_NUM" in plan
+
+
 def test_merge_is_the_full_outer_sum_and_threshold_comes_after(spark):
     schema = "id1 bigint, id2 bigint, weight bigint"
     a = spark.createDataFrame([(1, 2, 6), (1, 3, 9)], schema)
