@@ -126,3 +126,15 @@ def test_files_follow_bytes(spark):
     middle = sizes[40_000][len(sizes[40_000]) // 2]
     assert 0.02 * 2**20 < middle < 0.1 * 2**20
     assert writers.files_for(df.where("pat_key < 0")) == 1
+
+
+def test_files_follow_values_that_shrink_to_nothing(spark):
+    """A long array of one value takes no bytes in a file, but a task's share of the values stays bounded."""
+    df = folds.assign_fold(spark.range(2000).select(F.col("id").alias("pat_key"), F.array_repeat(F.lit(0.0).cast("float"), 640).alias("v")))
+    files = writers.files_for(df, raw_mb=0.25)
+    assert 4 <= files <= 6 and writers.files_for(df) == 1
+    path = scratch_path(spark, "folds")
+    writers.write_folds(df, path, files_per_fold=files)
+    counts = spark.read.parquet(path).groupBy(F.input_file_name()).count()
+    assert counts.agg(F.max("count"), F.sum("count"), F.count(F.lit(1))).first()[1:] == (2000, 10 * files)
+    assert counts.agg(F.max("count")).first()[0] < 90
