@@ -21,7 +21,7 @@ from stayframe.session import scratch_path
 # Fixed value: epochs without gain after which training ends.
 PATIENCE = 100
 # Rows that a task turns into a dense matrix at once, for models with hidden layers.
-_DENSE_ROWS = 512
+_DENSE_ROWS = 1024
 # Places of a gradient table that hold counts and losses.
 _TRAIN_ROWS, _TRAIN_LOSS, _HELD_ROWS, _HELD_LOSS = -1, -2, -3, -4
 
@@ -57,12 +57,15 @@ class Model:
 
 @dataclass
 class Rows:
-    """Sparse rows of one batch: ``place`` and ``value`` of each entry, and the row that it belongs to."""
+    """Sparse rows of one batch: ``place`` and ``value`` of each entry, and the row that it belongs to, ascending."""
 
     label: np.ndarray
     place: np.ndarray
     value: np.ndarray
     row: np.ndarray
+    # What models that see the same rows share: entries below a width, and the widest dense form.
+    _below: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
+    _dense: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, label: pa.Array, places: pa.Array, values: pa.Array) -> Rows:
@@ -73,33 +76,57 @@ class Rows:
         )
 
     def some(self, rows: np.ndarray) -> Rows:
+        if len(rows) == len(self.label):
+            return self
         number = np.full(len(self.label), -1)
         number[rows] = np.arange(len(rows))
         mine = number[self.row] >= 0
         return Rows(self.label[rows], self.place[mine], self.value[mine], number[self.row[mine]])
 
+    def span(self, first: int, last: int) -> Rows:
+        """The rows from ``first`` up to ``last``."""
+        if first == 0 and last >= len(self.label):
+            return self
+        a, b = np.searchsorted(self.row, [first, last])
+        return Rows(self.label[first:last], self.place[a:b], self.value[a:b], self.row[a:b] - first)
+
+    def below(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, value and row of the entries that a model of this width sees."""
+        if width not in self._below:
+            seen = self.place < width
+            self._below[width] = (self.place, self.value, self.row) if seen.all() else (self.place[seen], self.value[seen], self.row[seen])
+        return self._below[width]
+
     def dense(self, width: int) -> np.ndarray:
-        out = np.zeros((len(self.label), width + 1))
-        out[:, width] = 1
-        seen = self.place < width
-        np.add.at(out, (self.row[seen], self.place[seen]), self.value[seen])
-        return out
+        """The rows as a matrix, of which narrower models see the first columns."""
+        if self._dense is None or self._dense.shape[1] < width:
+            place, value, row = self.below(width)
+            spots = np.bincount(row * width + place, weights=value, minlength=len(self.label) * width)
+            self._dense = spots.astype(float, copy=False).reshape(len(self.label), width)
+        return self._dense[:, :width]
 
 
 def _losses(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, margin) - label * margin
 
 
+def _layered(layers: list[np.ndarray], inputs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What goes into each layer, and the margins that come out of the last."""
+    inner = [inputs]
+    for layer in layers[:-1]:
+        out = inner[-1] @ layer[:-1]
+        out += layer[-1]
+        inner.append(np.maximum(out, 0, out=out))
+    return inner, (inner[-1] @ layers[-1][:-1] + layers[-1][-1])[:, 0]
+
+
 def forward(model: Model, weights: np.ndarray, rows: Rows) -> np.ndarray:
     """The margin of each row: the log of the odds."""
     if not model.hidden:
-        seen = rows.place < model.width
-        sums = np.bincount(rows.row[seen], weights=rows.value[seen] * weights[rows.place[seen]], minlength=len(rows.label))
+        place, value, row = rows.below(model.width)
+        sums = np.bincount(row, weights=value * weights[place], minlength=len(rows.label))
         return sums + weights[-1]
-    out = rows.dense(model.width)
-    for layer in model.layers(weights)[:-1]:
-        out = np.append(np.maximum(out @ layer, 0), np.ones((len(out), 1)), axis=1)
-    return (out @ model.layers(weights)[-1])[:, 0]
+    return _layered(model.layers(weights), rows.dense(model.width))[1]
 
 
 def gradient(model: Model, weights: np.ndarray, rows: Rows) -> tuple[np.ndarray, float]:
@@ -107,28 +134,41 @@ def gradient(model: Model, weights: np.ndarray, rows: Rows) -> tuple[np.ndarray,
     if not model.hidden:
         margin = forward(model, weights, rows)
         off = 1 / (1 + np.exp(-margin)) - rows.label
-        seen = rows.place < model.width
-        out = np.bincount(rows.place[seen], weights=rows.value[seen] * off[rows.row[seen]], minlength=model.width + 1).astype(float)
+        place, value, row = rows.below(model.width)
+        out = np.bincount(place, weights=value * off[row], minlength=model.width + 1).astype(float)
         out[-1] = off.sum()
         return out, float(_losses(margin, rows.label).sum())
-    layers, inner = model.layers(weights), [rows.dense(model.width)]
-    for layer in layers[:-1]:
-        inner.append(np.append(np.maximum(inner[-1] @ layer, 0), np.ones((len(inner[-1]), 1)), axis=1))
-    margin = (inner[-1] @ layers[-1])[:, 0]
-    back, parts = (1 / (1 + np.exp(-margin)) - rows.label)[:, None], []
-    for layer, into in zip(layers[::-1], inner[::-1]):
-        parts.append(into.T @ back)
-        back = (back @ layer[:-1].T) * (into[:, :-1] > 0)
-    return np.concatenate([p.reshape(-1) for p in parts[::-1]]), float(_losses(margin, rows.label).sum())
-
-
-def _parts(model: Model, rows: Rows) -> Iterator[Rows]:
+    layers = model.layers(weights)
+    inner, margin = _layered(layers, rows.dense(model.width))
+    back, out = (1 / (1 + np.exp(-margin)) - rows.label)[:, None], np.empty(len(weights))
+    for at, slope in reversed(list(enumerate(model.layers(out)))):
+        np.matmul(inner[at].T, back, out=slope[:-1])
+        slope[-1] = back.sum(0)
+        if at:  # Nothing asks for the slopes of the inputs.
+            back = back @ layers[at][:-1].T
+            back *= inner[at] > 0
+    return out, float(_losses(margin, rows.label).sum())
+
+
+def _parts(dense: bool, rows: Rows) -> Iterator[Rows]:
     """The rows, a bounded number at a time where they are made dense."""
-    if not model.hidden:
+    if not dense:
         yield rows
         return
     for a in range(0, len(rows.label), _DENSE_ROWS):
-        yield rows.some(np.arange(a, min(a + _DENSE_ROWS, len(rows.label))))
+        yield rows.span(a, a + _DENSE_ROWS)
+
+
+def _shared(rows: Rows, models: Sequence[tuple[int, Model, np.ndarray]]) -> Iterator[tuple[Rows, int, Model, np.ndarray]]:
+    """The rows in parts, each with every model in turn, so that models share what is made of a part."""
+    for dense in (False, True):
+        some = [x for x in models if bool(x[1].hidden) == dense]
+        widest = max((model.width for _, model, _ in some), default=0)
+        for part in _parts(dense, rows) if some else ():
+            if dense:
+                part.dense(widest)
+            for m, model, w in some:
+                yield part, m, model, w
 
 
 @dataclass
@@ -208,15 +248,18 @@ def step_sums(rows: DataFrame, models: Sequence[Model], weights: Sequence[np.nda
             everyone = member.is_null().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(held)), np.diff(member.offsets.to_numpy()))
             numbers = member.flatten().to_numpy()
+            shares: dict[bytes, tuple[np.ndarray, list]] = {}
             for m, model, w in active:
                 mine = everyone.copy()
                 mine[owner[numbers == m]] = True
-                for part in _parts(model, rows.some(np.flatnonzero(mine & ~held))):
+                shares.setdefault(mine.tobytes(), (mine, []))[1].append((m, model, w))
+            for mine, alike in shares.values():
+                for part, m, model, w in _shared(rows.some(np.flatnonzero(mine & ~held)), alike):
                     found, loss = gradient(model, w, part)
                     sums[m] += found
                     extra[m][_TRAIN_ROWS] += len(part.label)
                     extra[m][_TRAIN_LOSS] += loss
-                for part in _parts(model, rows.some(np.flatnonzero(mine & held))):
+                for part, m, model, w in _shared(rows.some(np.flatnonzero(mine & held)), alike):
                     extra[m][_HELD_ROWS] += len(part.label)
                     extra[m][_HELD_LOSS] += float(_losses(forward(model, w, part), part.label).sum())
         for m, model, w in active:
@@ -331,12 +374,15 @@ def fit(
 def score(fitted: Fitted, inputs: DataFrame, *kept: str) -> DataFrame:
     """(kept ..., model, score): the chance of every row of ``inputs`` under every model."""
     pairs = list(zip(fitted.models, fitted.weights))
+    numbered = [(m, model, w) for m, (model, w) in enumerate(pairs)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = Rows.of(pa.array(np.zeros(len(batch))), batch.column(0), batch.column(1))
-            found = [np.concatenate([np.zeros(0), *[forward(m, w, p) for p in _parts(m, rows)]]) for m, w in pairs]
-            chances = pa.array((1 / (1 + np.exp(-np.array(found).T))).reshape(-1))
+            margins: list[list[np.ndarray]] = [[np.zeros(0)] for _ in pairs]
+            for part, m, model, w in _shared(rows, numbered):
+                margins[m].append(forward(model, w, part))
+            chances = pa.array((1 / (1 + np.exp(-np.array([np.concatenate(own) for own in margins]).T))).reshape(-1))
             at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(pairs))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.ListArray.from_arrays(at, chances)], ["kept", "scores"])
 

@@ -145,3 +145,23 @@ def test_training_takes_odd_tables(spark, inputs):
     unasked = d.fit(d.prepared(nulls), [model], epochs=1)
     assert (unasked.weights[0] == 0).all()
     assert d.score(blind, table.where("fold < 0"), "label").count() == 0
+
+
+def test_models_share_what_is_made_of_their_rows():
+    """Rows are made dense once, for the widest model; what lies beyond a model's width does not reach it."""
+    rng = np.random.default_rng(5)
+    counts = np.array([2, 0, 3, 1, 2, 4, 0, 3])
+    place, row = np.concatenate([rng.choice(8, c, replace=False) for c in counts]), np.repeat(np.arange(8), counts)
+    value = np.where(place == 7, np.nan, rng.normal(size=15))
+    here = d.Rows(rng.integers(0, 2, 8).astype(float), place, value, row)
+    wide, narrow = here.dense(8), here.dense(5)
+    assert np.shares_memory(wide, narrow) and narrow.shape == (8, 5) and here.some(np.arange(8)) is here
+    for hidden in ((), (4, 3)):
+        model = d.Model("m", 6, hidden)
+        w = rng.normal(0, 0.7, len(model.start(1)))
+        alone = d.Rows(here.label, place[place < 6], value[place < 6], row[place < 6])
+        found, loss = d.gradient(model, w, here)
+        again, same = d.gradient(model, w, alone)
+        assert np.isfinite(found).all() and found == pytest.approx(again) and loss == pytest.approx(same)
+        parts = [d.gradient(model, w, here.span(a, a + 3)) for a in range(0, 8, 3)]
+        assert found == pytest.approx(sum(p for p, _ in parts)) and loss == pytest.approx(sum(x for _, x in parts))
