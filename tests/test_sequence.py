@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from stayframe.functions import arrays, sums
 from stayframe.operators import sequence as s
+from stayframe.operators.cohort import bill_window
 from stayframe.plans import fixtures as fx
-from stayframe.plans.stay_table import build_stays
+from stayframe.plans.stay_table import OUTPUT, build_stays
 from stayframe.sources.vectors import embedding_table
 
 BILL = "pat_key bigint, std_chg_code bigint, serv_day int, std_qty double"
@@ -88,6 +89,20 @@ def test_stay_table_drops_or_keeps_stays_without_charges(spark):
     assert {len(r.features) for r in everyone.select("features").collect()} == {len(usual.first().features)}
 
 
+def test_stay_table_takes_pooled_vectors_in_one_pass(spark):
+    """The mean vector of a stay's events in place of the sequence, for the same stays and without a second pass over the events."""
+    d = "/root/testdata/sf0.001"
+    bill = fx.bill(spark, d).where("pat_key % 5 <> 0")
+    parts = (fx.stays(spark, d), bill, fx.readmissions(spark, d), fx.vectors(spark, d))
+    means = s.pooled_events(bill_window(bill), fx.vectors(spark, d), dim=fx.WIDTH)
+    want = build_stays(*parts, dim=fx.WIDTH).drop("embedding").join(means, "pat_key")
+    made = build_stays(*parts, dim=fx.WIDTH, pooled=True)
+    assert made.columns == [c if c != "embedding" else "pooled" for c in OUTPUT]
+    assert rows(made, *want.columns) == rows(want) and want.count() > 500
+    everyone = build_stays(*parts, dim=fx.WIDTH, pooled=True, keep_empty=True)
+    assert everyone.join(made, "pat_key", "left_anti").first().pooled == [0.0] * fx.WIDTH
+
+
 def test_long_lists_are_made_by_many_tasks(spark):
     """A few kilobytes of events became hundreds of megabytes of lists in a single task."""
     bill = spark.range(4000).select(F.col("id").alias("pat_key"), (F.col("id") % 7).alias("std_chg_code"), F.lit(0).alias("serv_day"), F.lit(1.0).alias("std_qty"))
