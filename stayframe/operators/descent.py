@@ -21,7 +21,7 @@ from stayframe.session import scratch_path
 # Fixed value: epochs without gain after which training ends.
 PATIENCE = 100
 # Rows that a task turns into a dense matrix at once, for models with hidden layers.
-_DENSE_ROWS = 1024
+_DENSE_ROWS = 512
 # Places of a gradient table that hold counts and losses.
 _TRAIN_ROWS, _TRAIN_LOSS, _HELD_ROWS, _HELD_LOSS = -1, -2, -3, -4
 
@@ -63,9 +63,9 @@ class Rows:
     place: np.ndarray
     value: np.ndarray
     row: np.ndarray
-    # What models that see the same rows share: entries below a width, and the widest dense form.
+    # What models that see the same rows share: entries below a width, and the dense form of that width.
     _below: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
-    _dense: np.ndarray | None = field(default=None, repr=False)
+    _dense: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, label: pa.Array, places: pa.Array, values: pa.Array) -> Rows:
@@ -98,12 +98,14 @@ class Rows:
         return self._below[width]
 
     def dense(self, width: int) -> np.ndarray:
-        """The rows as a matrix, of which narrower models see the first columns."""
-        if self._dense is None or self._dense.shape[1] < width:
+        """The rows as a matrix, with a last column of ones for the intercept; models of one width share it."""
+        if width not in self._dense:
             place, value, row = self.below(width)
-            spots = np.bincount(row * width + place, weights=value, minlength=len(self.label) * width)
-            self._dense = spots.astype(float, copy=False).reshape(len(self.label), width)
-        return self._dense[:, :width]
+            spots = np.bincount(row * (width + 1) + place, weights=value, minlength=len(self.label) * (width + 1))
+            out = spots.astype(float, copy=False).reshape(len(self.label), width + 1)
+            out[:, width] = 1
+            self._dense[width] = out
+        return self._dense[width]
 
 
 def _losses(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -111,13 +113,14 @@ def _losses(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def _layered(layers: list[np.ndarray], inputs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """What goes into each layer, and the margins that come out of the last."""
+    """What goes into each layer, ones for the intercept last, and the margins that come out of the last layer."""
     inner = [inputs]
     for layer in layers[:-1]:
-        out = inner[-1] @ layer[:-1]
-        out += layer[-1]
-        inner.append(np.maximum(out, 0, out=out))
-    return inner, (inner[-1] @ layers[-1][:-1] + layers[-1][-1])[:, 0]
+        out = np.empty((len(inputs), layer.shape[1] + 1))
+        np.maximum(inner[-1] @ layer, 0, out=out[:, :-1])
+        out[:, -1] = 1
+        inner.append(out)
+    return inner, (inner[-1] @ layers[-1])[:, 0]
 
 
 def forward(model: Model, weights: np.ndarray, rows: Rows) -> np.ndarray:
@@ -142,11 +145,10 @@ def gradient(model: Model, weights: np.ndarray, rows: Rows) -> tuple[np.ndarray,
     inner, margin = _layered(layers, rows.dense(model.width))
     back, out = (1 / (1 + np.exp(-margin)) - rows.label)[:, None], np.empty(len(weights))
     for at, slope in reversed(list(enumerate(model.layers(out)))):
-        np.matmul(inner[at].T, back, out=slope[:-1])
-        slope[-1] = back.sum(0)
+        slope[:] = inner[at].T @ back
         if at:  # Nothing asks for the slopes of the inputs.
             back = back @ layers[at][:-1].T
-            back *= inner[at] > 0
+            back *= inner[at][:, :-1] > 0
     return out, float(_losses(margin, rows.label).sum())
 
 
@@ -163,10 +165,7 @@ def _shared(rows: Rows, models: Sequence[tuple[int, Model, np.ndarray]]) -> Iter
     """The rows in parts, each with every model in turn, so that models share what is made of a part."""
     for dense in (False, True):
         some = [x for x in models if bool(x[1].hidden) == dense]
-        widest = max((model.width for _, model, _ in some), default=0)
         for part in _parts(dense, rows) if some else ():
-            if dense:
-                part.dense(widest)
             for m, model, w in some:
                 yield part, m, model, w
 
