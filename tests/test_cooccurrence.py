@@ -54,6 +54,25 @@ def test_pairs_are_dealt_by_the_number_of_lines(spark):
     assert "(_part" in plan and "hashpartitioning(id1#" in plan.replace("L,", ",") and ", 12), REPARTITION_BY_NUM" in plan
 
 
+def test_large_groups_are_looked_for_once(spark, monkeypatch):
+    """Every group was counted and sorted three times, to find large ones, whether there were any or not."""
+    lines = [(i % 97, i % 3, i * 7 % 31) for i in range(900)] + [(99, 0, i % 40) for i in range(60)] + [(7, 0, 3)] * 90
+    lines += [(None, 0, i) for i in range(50)] + [(98, None, i) for i in range(50)] + [(98, 1, None)] * 50
+    df = spark.createDataFrame(lines, BILL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [g.code_pairs(df, slice_codes=n)._jdf.queryExecution().executedPlan().toString() for n in (2_000, 30)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Join" not in plans[0] and plans[0].count("(_part") < plans[1].count("(_part") and "Join" in plans[1]
+    want = brute(lines)
+    options = [{}, {"slice_codes": 30, "min_rows": 80}, {"slice_codes": 39, "probe": df.select("serv_day", "std_chg_code")}]
+    assert all(rows(g.code_pairs(df, **o)) == want for o in options)
+    monkeypatch.setattr(g, "MOST_HOT", 0)
+    assert rows(g.code_pairs(df, slice_codes=30)) == want
+    assert rows(g.code_pairs(df.limit(0), slice_codes=30)) == []
+
+
 def test_merge_is_the_full_outer_sum_and_threshold_comes_after(spark):
     schema = "id1 bigint, id2 bigint, weight bigint"
     a = spark.createDataFrame([(1, 2, 6), (1, 3, 9)], schema)
