@@ -1,9 +1,11 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import rows
+from stayframe import session
 from stayframe.functions.hashing import row_id
 from stayframe.operators import folds
-from stayframe.session import scratch_path
+from stayframe.session import bounded_session, scratch_path
 from stayframe.sinks import writers as w
 from stayframe.sources import readers as r
 
@@ -81,3 +83,25 @@ def test_profile_and_row_id(spark):
     df = spark.range(7)
     assert rows(w.profile(df)) == [(7, 1, "id", "bigint")]
     assert df.select(row_id("id").alias("r")).distinct().count() == 7
+
+
+def test_long_rows_are_read_in_batches_of_bounded_bytes(spark, monkeypatch):
+    """Rows of tens of kilobytes were read 4,096 at a time and sent to Python 10,000 at a time."""
+    path = scratch_path(spark, "t-long")
+    spark.range(500).select("id", F.array_repeat(F.lit(0.5), 1000).alias("v")).coalesce(1).write.parquet(path)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [batch.num_rows]})
+
+    before = {k: spark.conf.get(k) for k in session._BATCHES}
+    apart = bounded_session(spark, 8000, 80_000)
+    assert apart.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    found = [r["id"] for r in apart.read.parquet(path).mapInArrow(sizes, "id bigint").collect()]
+    assert max(found) <= 10 and sum(found) == 500
+    assert before == {k: spark.conf.get(k) for k in session._BATCHES}
+    asked = []
+    monkeypatch.setattr(w, "bounded_session", lambda spark, size: asked.append(size) or bounded_session(spark, size))
+    table = stays(spark).withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    w.write_folds(table, scratch_path(spark, "t-check"), spec={"pat_key": w.Tensor("bigint"), "v": w.Tensor("array<float>", 2)})
+    assert asked == [24]
